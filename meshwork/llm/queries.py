@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from meshwork.llm import quality
+from meshwork.llm import chat, langid, quality, secrets
 
-QUERIES = {"op4_quality_rules": quality.op4_quality_rules}
-ORACLE_SQL = {"op4_quality_rules": quality.OP4_SQL}
+QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_language_id": langid.op2_language_id,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_quality_rules": quality.op4_quality_rules,
+}
+ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL, "op4_quality_rules": quality.OP4_SQL}
