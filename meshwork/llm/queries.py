@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from meshwork.llm import chat, langid, quality, secrets
+from meshwork.llm import chat, decontaminate, langid, mixing, quality, secrets
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_language_id": langid.op2_language_id,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+}
+ORACLE_SQL = {
+    "op3_chat_formatting": chat.OP3_SQL,
+    "op4_quality_rules": quality.OP4_SQL,
+    "op5_source_mixing": mixing.OP5_SQL,
+    "op7_benchmark_decontamination": decontaminate.OP7_SQL,
 }
-ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL, "op4_quality_rules": quality.OP4_SQL}
