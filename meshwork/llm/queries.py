@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshwork.llm import chat, decontaminate, langid, mixing, quality, secrets
+from meshwork.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -11,10 +11,13 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_warc": warc.op8_warc,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
