@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import table, utf8
+from meshwork.llm.common import fresh, table, utf8
 from meshwork.operators.components import star_components
 from meshwork.plans.scratch import cut
 
@@ -204,21 +204,40 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """key, fp, component_id per row of ``docs``: the least key among all documents reachable by links.
+    """key, fp, component_id (least key among all documents reachable by links) and ``component`` (its least fp) per row.
 
     Equal fingerprints are one node, however many documents have them. Rows without words have
     fingerprint 0 and link like any other. A null key takes part but never names a component
     unless all keys of the component are null; then component_id is null.
     """
-    rows = cut(fingerprints(docs, key, text, size), "prints")
+    rows = _components_of(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), size, max_bits)
+    return rows.select(F.col("id").alias(key), "fp", "component_id", "component")
+
+
+def _components_of(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
+    """id, fp, component, component_id (least id that is not null) for rows (id, text)."""
+    rows = cut(fingerprints(docs, "id", "text", size), "prints")
     prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     joined = star_components(links(prints, max_bits), "u", "v")
-    grouped = cut(joined.join(prints, prints.fp == joined.id).select("fp", "least", "component"), "members")
-    roots = grouped.groupBy("component").agg(F.min("least").alias("root"))
-    moved = grouped.join(roots, "component").select("fp", "root")
-    # Only fingerprints with links take part in the last join's right side with another root.
-    names = prints.join(moved, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return rows.join(names, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    nodes = cut(prints.join(joined, prints.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes")
+    roots = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = nodes.join(roots, "component").select("fp", "component", "component_id")
+    return rows.join(names, "fp").select(F.col("key").alias("id"), "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: that with the least key stays (of repeated rows one).
+
+    Rows meet their component by key and a hash of the text; null keys stand last.
+    """
+    k, m = fresh(docs.columns, "__key"), fresh(docs.columns, "__mark")
+    mark = F.xxhash64(F.col(f"`{text}`"))
+    known = docs.select(F.struct(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("k"), mark.alias("m")).alias("id"), F.col(f"`{text}`").alias("text"))
+    found = _components_of(known, size, max_bits)
+    kept = found.groupBy("component").agg(F.min("id").alias("id")).select(F.col("id.k").alias(k), F.col("id.m").alias(m))
+    own = docs.columns
+    marked = docs.withColumn(k, F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit((1 << 63) - 1))).withColumn(m, mark)
+    return marked.join(kept, [k, m], "left_semi").dropDuplicates([k, m]).select(*(F.col(f"`{c}`") for c in own))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
