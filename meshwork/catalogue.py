@@ -330,7 +330,7 @@ def neighborhood_overlap(spark, d):
 
 @query()
 def louvain(spark, d):
-    return communities.louvain(kg.both_ways(kg.geography(spark, d)))
+    return communities.louvain(kg.both_ways(kg.geography(spark, d)), levels=2, rounds=4)
 
 
 def _doc_words(spark, d):

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def snap(x: Column | str, scale: float = 1e6) -> Column:
+def snap(x: Column | str) -> Column:
     """Round half up by plain IEEE operations, so that other engines give the same bits."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x * F.lit(scale) + 0.5) / F.lit(scale)
+    return F.floor(x * F.lit(1e6) + 0.5) / F.lit(1e6)
 
 
 def uniform(*parts: Column | str) -> Column:

@@ -58,8 +58,8 @@ def metapath_types(metapath: list[str], length: int) -> list[str]:
     return out[:length]
 
 
-def metapath_walk(edges: DataFrame, nodes: DataFrame, walks: DataFrame, metapath: list[str], length: int, seed: str = "metapath") -> DataFrame:
-    """Walks whose nodes have the metapath's types in turn, kept if they are at least as long as the metapath."""
+def metapath_walk(edges: DataFrame, nodes: DataFrame, walks: DataFrame, metapath: list[str], length: int, seed: str = "metapath", keep: int | None = None) -> DataFrame:
+    """Walks whose nodes have the metapath's types in turn, kept if they have ``keep`` nodes (as many as the metapath, if not given)."""
     types = metapath_types(metapath, length)
     kind = nodes.select("id", F.col("type").alias("kind"))
     e = edges.where("src <> dst").select("src", "dst").distinct().join(kind.withColumnRenamed("id", "dst"), "dst")
@@ -71,14 +71,14 @@ def metapath_walk(edges: DataFrame, nodes: DataFrame, walks: DataFrame, metapath
         walks = _extend(walks, chosen)
         if step % 4 == 0:
             walks = cut(walks, "walks")
-    return walks.where(F.size("tokens") >= len(metapath))
+    return walks.where(F.size("tokens") >= (len(metapath) if keep is None else keep))
 
 
 def schema_walk(edges: DataFrame, nodes: DataFrame, walks: DataFrame, schema: str, length: int, seed: str = "schema") -> DataFrame:
     """Walks by a cyclic schema ``a-b-a``: the type at place k is the (k mod (len - 1))-th."""
     parts = schema.split("-")
     types = [parts[k % (len(parts) - 1)] for k in range(length)]
-    return metapath_walk(edges, nodes, walks, types, length, seed).where(F.size("tokens") >= 1)
+    return metapath_walk(edges, nodes, walks, types, length, seed, keep=1)
 
 
 def second_order_walk(edges: DataFrame, walks: DataFrame, length: int, p: float = 1.0, q: float = 1.0, bias: str = "reference", transitions: DataFrame | None = None, seed: str = "n2v") -> DataFrame:

@@ -40,3 +40,11 @@ def drop(df: DataFrame) -> None:
     for file in df.inputFiles():
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver collects garbage, which a driver that only plans may not do for long.
+    """
+    spark.sparkContext._jvm.System.gc()
