@@ -18,16 +18,12 @@ from meshwork.plans.scratch import cut
 WINDOW = 10
 #: What separates words, for texts in any case; upper-case A-Z are letters here and lowered after.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Up to this many windows (some 200 bytes each) or words the benchmark's side is broadcast; more are joined by shuffle.
+#: Up to this many windows (some 200 bytes each, with at most ten words) the benchmark's side is broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """item (string), words (array, A-Z lowered) of each distinct window; items without words have none."""
     w = items.select(F.col(f"`{item}`").cast("string").alias("item"), words_of(F.translate(F.col(f"`{text}`"), _UPPER, _LOWER), GAPS).alias("w")).where(F.size("w") > 0)
@@ -43,15 +39,16 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     and the comparison of the whole window is exact.
     """
     wins = cut(windows(items, item, item_text, size), "windows")
-    vocab = _small(wins.select(F.explode("words").alias("word")).select(F.lower("word").alias("word")).distinct())
+    few = wins.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    vocab = small(wins.select(F.explode("words").alias("word")).select(F.lower("word").alias("word")).distinct())
     body = F.col(f"`{text}`")
     words = docs.select(F.explode(words_of(body, GAPS)).alias("word")).select(F.lower("word").alias("word"))
-    counts = words.join(vocab, "word").groupBy("word").agg(F.count("*").alias("n"))
-    counts = cut(vocab.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")), "rarity")
+    counts = small(cut(words.join(vocab, "word").groupBy("word").agg(F.count("*").alias("n")), "rarity"))
     spread = wins.select("item", "words", F.posexplode("words").alias("at", "word")).select("item", "words", "at", F.lower("word").alias("word"))
-    rare = spread.join(counts, "word").groupBy("item", "words").agg(F.min(F.struct("n", "word", "at")).alias("r"))
-    rare = rare.where("r.n > 0").select(F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.col("words").alias("win"), "item")
-    rare = _small(cut(rare, "prefixes"))
+    # a window with a word that the corpus lacks does not occur: the inner join leaves it too few rows
+    rare = spread.join(counts, "word").groupBy("item", "words").agg(F.min(F.struct("n", "word", "at")).alias("r"), F.count("*").alias("found")).where(F.col("found") == F.size("words"))
+    rare = small(rare.select(F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.col("words").alias("win"), "item"))
     each = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), words_of(body, GAPS).alias("w"))
     each = each.select("key", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("q", "raw")).select("key", "text_hash", "w", "n_words", "q", F.lower("raw").alias("word"))
     start, length = F.col("q") - F.col("at"), F.size("win")
@@ -66,22 +63,26 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     Null and empty texts have no words. Words and items are counted as sets, so overlapping windows,
     items that share a passage and repeated rows count once.
     """
-    found = cut(hits(docs, items, key, text, item, item_text, size), "hits")
-    same = ["key", "text_hash"]
-    covered = found.select(*same, "start", "len").distinct().select(*same, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p"))
-    covered = covered.distinct().groupBy(*same).agg(F.count("*").alias("n_hit"))
-    named = found.select(*same, "item").distinct().groupBy(*same).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+    found = hits(docs, items, key, text, item, item_text, size)
+    # both sets are bounded by the length of one text and the number of items
+    each = found.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    covered = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda a, x: F.struct(F.greatest(a["end"], x["start"] + x["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(a["end"], x["start"]))).alias("n")),
+        lambda a: a["n"],
+    )
+    both = each.select(F.col("key").alias("k2"), F.col("text_hash").alias("h2"), covered.alias("n_hit"), "items")
     body = F.col(f"`{text}`")
     base = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), F.size(words_of(body, GAPS)).cast("bigint").alias("n_words"))
-    both = covered.join(named, same).select(F.col("key").alias("k2"), F.col("text_hash").alias("h2"), "n_hit", "n_items", "items")
     out = base.join(both, F.col("key").eqNullSafe(F.col("k2")) & (F.col("text_hash") == F.col("h2")), "left")
     return out.select(
         F.col("key").alias(key),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
