@@ -5,22 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshwork.plans.ranking import numbered
+
 
 def dense_index(df: DataFrame, key: str = "id", index: str = "idx") -> DataFrame:
-    """0-based rank of each distinct ``key`` in code-point order.
-
-    Keys are sorted into ranges, counted by range, and numbered inside each: only one row per
-    partition meets on the driver's side, not the keys.
-    """
-    rows = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
-    # monotonic ids hold the partition in the upper bits and count from 0 inside it
-    rows = rows.withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(before.select("__part", "__before")), "__part").select(key, (F.col("__before") + F.col("__in")).alias(index))
+    """0-based rank of each distinct ``key`` in code-point order."""
+    return numbered(df.select(key).distinct(), [F.col(key)], index)
 
 
 @dataclass

@@ -7,10 +7,10 @@ is (id, cluster).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import hashed
+from meshwork.plans.ranking import numbered
 from meshwork.plans.scratch import cut
 
 
@@ -172,5 +172,5 @@ def component_labels(nodes: DataFrame, components: DataFrame) -> DataFrame:
     left = nodes.join(known, "id", "left_anti").select("id", F.lit(None).cast("string").alias("rep"))
     every = known.union(left)
     order = every.select(F.col("rep").isNull().alias("late"), F.coalesce("rep", "id").alias("rep")).distinct()
-    numbered = order.select("rep", (F.dense_rank().over(W.orderBy("late", "rep")) - 1).alias("label"))
-    return every.select("id", F.coalesce("rep", "id").alias("rep")).join(numbered, "rep").select("id", "label")
+    places = numbered(order, [F.col("late"), F.col("rep")], "label")
+    return every.select("id", F.coalesce("rep", "id").alias("rep")).join(places, "rep").select("id", "label")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import keep_probability, uniform
+from meshwork.plans.ranking import numbered
 
 
 def vocabulary(docs: DataFrame, rate: float = 0.01, threshold: float = 0.2, domain: int | None = None, pad: str = "0") -> DataFrame:
@@ -15,19 +16,18 @@ def vocabulary(docs: DataFrame, rate: float = 0.01, threshold: float = 0.2, doma
     Corpus size is documents times the longest, as if the shorter were padded with ``pad``, which is
     counted as a word. Words whose keep-probability is at most ``threshold`` go. The distribution is
     the running share of count ** 0.75 (count descending, word ascending), scaled to ``domain`` (the
-    number of words kept) and rounded half to even. One row per word meets in the window.
+    number of words kept) and rounded half to even.
     """
     n = docs.agg((F.count("*") * F.max(F.size("tokens"))).alias("size"), (F.count("*") * F.max(F.size("tokens")) - F.sum(F.size("tokens"))).alias("pads"))
     words = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("count"))
     words = words.union(n.where("pads > 0").select(F.lit(pad).alias("word"), F.col("pads").alias("count"))).groupBy("word").agg(F.sum("count").alias("count"))
     v = words.join(F.broadcast(n)).withColumn("frequency", F.col("count") / F.col("size"))
     v = v.withColumn("probability_of_staying", keep_probability(F.col("frequency"), rate)).where(F.col("probability_of_staying") > threshold)
-    order = W.orderBy(F.desc("count"), "word")
-    every = W.partitionBy()
-    v = v.withColumn("rn", F.row_number().over(order)).withColumn("run", F.sum(F.pow("count", F.lit(0.75))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    size = F.lit(domain) if domain is not None else F.count("*").over(every)
-    cdf = F.bround(F.col("run") / F.sum(F.pow("count", F.lit(0.75))).over(every) * size).cast("bigint")
-    return v.withColumn("cumulative_distribution", cdf).select("rn", "word", "count", "frequency", "probability_of_staying", "cumulative_distribution")
+    v = numbered(v, [F.desc("count"), F.col("word")], "rn", {"run": F.pow("count", F.lit(0.75))})
+    total = v.agg(F.max("run").alias("total"), F.count("*").alias("kept"))
+    size = F.lit(domain) if domain is not None else F.col("kept")
+    cdf = F.bround(F.col("run") / F.col("total") * size).cast("bigint")
+    return v.join(F.broadcast(total)).select((F.col("rn") + 1).cast("int").alias("rn"), "word", "count", "frequency", "probability_of_staying", cdf.alias("cumulative_distribution"))
 
 
 def typed_cdf(words: DataFrame) -> DataFrame:
@@ -55,8 +55,9 @@ def inverse_cdf(draws: DataFrame, steps: DataFrame, buckets: int = 256) -> DataF
     Steps become ranges (low, high]; both sides are cut into equal buckets of [0, top], so the range
     join is an equi-join on the bucket.
     """
-    order = W.orderBy("cumulative", "item")
-    r = steps.select("item", F.coalesce(F.lag("cumulative").over(order), F.lit(-1.0)).cast("double").alias("low"), F.col("cumulative").cast("double").alias("high")).where("high > low")
+    n = numbered(steps.select("item", F.col("cumulative").cast("double").alias("high")), [F.col("high"), F.col("item")])
+    before = n.select((F.col("idx") + 1).alias("idx"), F.col("high").alias("low"))
+    r = n.join(before, "idx", "left").select("item", F.coalesce("low", F.lit(-1.0)).alias("low"), "high").where("high > low")
     top = r.agg(F.greatest(F.max("high"), F.lit(1e-300)).alias("top"))
     place = lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)) / F.col("top"), F.lit(1.0)) * buckets)
     r = r.join(F.broadcast(top)).select("item", "low", "high", F.explode(F.sequence(place(F.col("low")), place(F.col("high")))).alias("b"))

@@ -7,13 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import hashed
+from meshwork.plans.ranking import numbered
 
 
 def first_occurrence(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """id, idx: values of the columns numbered from 0 by where they first stand (row order, then column)."""
     at = rows.select(F.explode(F.array(*(F.struct((F.col(order) * len(columns) + k).alias("p"), F.col(c).alias("id")) for k, c in enumerate(columns)))).alias("x"))
     first = at.groupBy(F.col("x.id").alias("id")).agg(F.min("x.p").alias("p"))
-    return first.select("id", (F.row_number().over(W.orderBy("p")) - 1).cast("bigint").alias("idx"))
+    return numbered(first, [F.col("p")]).select("id", "idx")
 
 
 def encode(triples: DataFrame, ids: DataFrame, rels: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def corrupt(triples: DataFrame, seed: str = "corrupt") -> DataFrame:
     for side in ("head", "tail"):
         key = bucket(hashed(F.lit(seed), F.lit(side), F.col("head"), F.col("rel"), F.col("tail")))
         out = out.withColumn("b", key).join(slots.withColumnRenamed("e", f"bad_{side}"), ["rel", "b"], "left").drop("b")
-    out = out.join(F.broadcast(least), "rel")
+    out = out.join(least, "rel")
     return out.select("head", "rel", "tail", F.coalesce("bad_head", "least").alias("bad_head"), F.coalesce("bad_tail", "least").alias("bad_tail"))
 
 
