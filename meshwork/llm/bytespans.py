@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import repeats
 from meshwork.llm.common import table
-from meshwork.plans.scratch import cut
+from meshwork.plans.scratch import cut, release
 
-SHAPE = repeats.Shape(length=200, gram=100, blocks=4)
+SHAPE = repeats.Shape(length=200, gram=130)
 ROOM = 200_000
 
 
@@ -47,57 +47,43 @@ def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
-    """The windows (key, mark, first) whose bytes also start at another place."""
-    blocks = SHAPE.blocks
-    dealt = repeats.dealt_by_prefix(windows, blocks, room)
-    names = [f"d{k + 1}" for k in range(blocks)]
+    """The windows (key, place) whose bytes also start at another place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in repeats.chunks(batches, (0, 1)):
-            part, salt, salted, key, mark, first = cols[:6]
-            rows, group = radix_groups([part, salt, *cols[6:]])
-            order = np.lexsort((first[rows], mark[rows], key[rows], group))
+        for hi, lo, key, place, salted in repeats.chunks(batches, (0, 1)):
+            rows, group = radix_groups(repeats.digits_of(hi, lo))
+            order = np.lexsort((place[rows], key[rows], group))
             rows, group = rows[order], group[order]
             # repeated rows of the input are one place; a group needs two
             same = np.zeros(len(rows), bool)
-            same[1:] = (group[1:] == group[:-1]) & (key[rows[1:]] == key[rows[:-1]]) & (mark[rows[1:]] == mark[rows[:-1]]) & (first[rows[1:]] == first[rows[:-1]])
+            same[1:] = (group[1:] == group[:-1]) & (key[rows[1:]] == key[rows[:-1]]) & (place[rows[1:]] == place[rows[:-1]])
             rows, group = rows[~same], group[~same]
-            _, where, size = np.unique(group, return_inverse=True, return_counts=True)
-            found = rows[size[where] > 1] if len(rows) else rows
-            # In a salted group a window that is alone in its piece, or stands for its piece, still has to meet the other pieces.
-            rest = np.flatnonzero(salted) if salted.any() else found[:0]
-            if len(rest):
-                lone = np.setdiff1d(rest, found)
-                lead = found[salted[found]]
-                lead = lead[np.unique(np.stack([c[lead] for c in (salt, *cols[6:])], axis=1), axis=0, return_index=True)[1]] if len(lead) else lead
-                rest = np.concatenate([lone, lead])
+            _, lead, size = np.unique(group, return_index=True, return_counts=True)
+            found, lead = rows[np.repeat(size > 1, size)], rows[lead[size > 1]]
+            # In a salted group a window that is alone in its piece, and one that stands for its piece, still meet the other pieces.
+            rest = np.concatenate([np.setdiff1d(np.flatnonzero(salted), found), lead[salted[lead]]])
             both = np.concatenate([found, rest])
             if len(both):
-                flag = np.zeros(len(both), bool)
-                flag[len(found) :] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[both]) for x in (key, mark, first)] + [pa.array(flag)] + [pa.array(x[both]) for x in cols[6:]],
-                    names=["key", "mark", "first", "open", *names],
-                )
-
-    schema = "key bigint, mark int, first int, open boolean, " + ", ".join(f"{d} bigint" for d in names)
-    sorted_rows = dealt.repartition("part", "salt").sortWithinPartitions("part", "salt").select("part", "salt", "salted", "key", "mark", "first", *names)
-    found = cut(sorted_rows.mapInArrow(run, schema), "groups")
-    place = F.struct("key", "mark", "first")
-    pieces = found.where("open").select("key", "mark", "first", *names)
-    met = pieces.groupBy(*names).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select(*names)
-    late = pieces.join(met, names, "left_semi").select("key", "mark", "first")
-    return found.where("NOT open").select("key", "mark", "first").union(late)
+                flag = np.arange(len(both)) >= len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(x[both]) for x in (hi, lo, key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
+
+    found = cut(repeats.dealt_by_prefix(windows, room).mapInArrow(run, "hi bigint, lo bigint, key bigint, place bigint, open boolean"), "groups")
+    spot = F.struct("key", "place")
+    pieces = found.where("open").select("hi", "lo", "key", "place")
+    met = pieces.groupBy("hi", "lo").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("hi", "lo")
+    late = pieces.join(met, ["hi", "lo"], "left_semi").select("key", "place")
+    return found.where("NOT open").select("key", "place").union(late)
 
 
 def removed_stretches(docs: DataFrame, room: int = ROOM) -> DataFrame:
-    """Windows of ``docs`` (made by repeats.keyed) that also start elsewhere, as stretches: key, mark, first, n."""
+    """Windows of ``docs`` (made by repeats.keyed) that also start elsewhere, as stretches: key, place, n."""
     units, open_ones = repeats.candidates(docs, byte_tokens, SHAPE)
-    place = F.struct("key", "mark", "first")
-    twice = units.groupBy("anchor", "content").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor", "content")
-    copies = units.join(twice, ["anchor", "content"], "left_semi").select("key", "mark", "first", "n")
-    single = repeated_windows(cut(repeats.windows_of(docs, open_ones, byte_tokens, SHAPE), "suffixes"), room)
-    return copies.union(single.select("key", "mark", "first", F.lit(1).alias("n")))
+    spot = F.struct("key", "place")
+    twice = units.groupBy("anchor", "content").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("anchor", "content")
+    copies = units.join(twice, ["anchor", "content"], "left_semi").select("key", "place", "n")
+    suffixes = cut(repeats.windows_of(docs, open_ones, byte_tokens, SHAPE), "suffixes")
+    release(docs.sparkSession)
+    return copies.union(repeated_windows(suffixes, room).select("key", "place", F.lit(1).alias("n")))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM) -> DataFrame:
@@ -108,7 +94,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
     result and are not copies of each other.
     """
     rows = repeats.keyed(docs, key, text)
-    met = repeats.with_stretches(rows, cut(removed_stretches(rows, room), "removed"))
+    gone = cut(removed_stretches(rows, room), "removed")
+    release(docs.sparkSession)
+    met = repeats.with_stretches(rows, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm.common import utf8
-from meshwork.plans.scratch import cut
+from meshwork.plans.scratch import cut, release
 
 _POSITION = np.uint64((1 << 24) - 1)
 #: Windows handled at once; a longer document is taken in stretches of so many, which overlap.
@@ -36,11 +36,10 @@ NO_KEY = -(1 << 63)
 
 @dataclass(frozen=True)
 class Shape:
-    """Tokens of a window, and of the grams that may be its anchor; ``blocks`` digits of ``length / blocks`` tokens each."""
+    """Tokens of a window (four digits of a quarter each), and of the grams that may be its anchor."""
 
     length: int
     gram: int
-    blocks: int
 
 
 @lru_cache(maxsize=8)
@@ -149,96 +148,120 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NO_KEY)).alias("key"), F.hash(F.col(f"`{text}`")).alias("mark"), utf8(F.col(f"`{text}`")).alias("body"))
 
 
+def _place(mark: pa.Array, first: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Mark and first token in one number, whose order is that of the pair."""
+    return pa.array(mark.to_numpy()[rows].astype(np.int64) << 32 | first)
+
+
 def unit_rows(docs: DataFrame, tokens: Callable[[], Tokens], shape: Shape) -> DataFrame:
-    """anchor, content, key, mark, first, n for every unit of ``docs`` (made by :func:`keyed`)."""
+    """anchor, content, key, place (mark and first token), n for every unit of ``docs`` (made by :func:`keyed`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = tokens()
         for b in batches:
-            keys, marks = b.column(0), b.column(1)
             for values, doc, number in _stretches(enumerate(x.as_py() for x in b.column(2)), make, shape):
                 anchor, content, first, n = units(values, doc, shape)
                 if len(first):
-                    d = pa.array(doc[first])
+                    rows = doc[first]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), keys.take(d), marks.take(d), pa.array(number[first].astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["anchor", "content", "key", "mark", "first", "n"],
+                        [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).take(pa.array(rows)), _place(b.column(1), number[first], rows), pa.array(n.astype(np.int32))],
+                        names=["anchor", "content", "key", "place", "n"],
                     )
 
-    return docs.mapInArrow(run, "anchor bigint, content bigint, key bigint, mark int, first int, n int")
+    return docs.mapInArrow(run, "anchor bigint, content bigint, key bigint, place bigint, n int")
+
+
+def by_document(stretches: DataFrame) -> DataFrame:
+    """k2, m2, spans: the distinct stretches (key, place, n) of each document, which its length bounds."""
+    s = stretches.select(F.col("key").alias("k2"), F.shiftright("place", 32).cast("int").alias("m2"), F.struct(F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("first"), "n").alias("s"))
+    return s.groupBy("k2", "m2").agg(F.collect_set("s").alias("spans"))
 
 
 def windows_of(docs: DataFrame, stretches: DataFrame, tokens: Callable[[], Tokens], shape: Shape) -> DataFrame:
-    """Every window of the given stretches (key, mark, first, n): digits d1.. and key, mark, first.
+    """Every window of the given stretches (key, place, n): hi, lo, key, place.
 
-    Digit k is the hash of the k-th block of the window; windows are equal where all digits are.
-    Texts are dealt by key once more; a document's stretches are bounded by its own length.
+    The four digits of a window, hashes of its quarters to 32 bits, are the halves of hi and lo;
+    windows are equal where these are. Texts are dealt by key once more.
     """
-    width = shape.length // shape.blocks
-    lists = stretches.groupBy("key", "mark").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    lists = lists.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "spans")
+    width = shape.length // 4
+    lists = by_document(stretches)
     met = docs.join(lists, (F.col("key") == F.col("k2")) & (F.col("mark") == F.col("m2"))).select("key", "mark", "body", "spans")
-    names = [f"d{k + 1}" for k in range(shape.blocks)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = tokens()
         for b in batches:
-            for key, mark, body, spans in zip(*(b.column(k) for k in range(4)), strict=True):
+            for row, (body, spans) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 values = make(body.as_py())
-                # repeated rows list a stretch once for each
-                pairs = sorted({(s["first"], s["n"]) for s in spans.as_py()})
-                starts = np.unique(np.concatenate([np.arange(f, f + n) for f, n in pairs]))
-                for i in range(0, len(starts), 1 << 16):
-                    at = starts[i : i + (1 << 16)]
+                starts = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in spans.as_py()]))
+                for i in range(0, len(starts), STRETCH):
+                    at = starts[i : i + STRETCH]
                     lo, hi = int(at[0]), int(at[-1]) + shape.length
-                    digits = Sums(values[lo:hi], DIGIT_BASE).all(width)
-                    cols = [pa.array(digits[at - lo + k * width].view(np.int64)) for k in range(shape.blocks)]
-                    one = pa.array(np.zeros(len(at), np.int64))
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([key.as_py()], pa.int64()).take(one), pa.array([mark.as_py()], pa.int32()).take(one), pa.array(at.astype(np.int32))], names=[*names, "key", "mark", "first"])
+                    digits = Sums(values[lo:hi], DIGIT_BASE).all(width) >> U64(32)
+                    d = [digits[at - lo + k * width] for k in range(4)]
+                    rows = np.full(len(at), row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((d[0] << U64(32) | d[1]).view(np.int64)), pa.array((d[2] << U64(32) | d[3]).view(np.int64)), b.column(0).take(pa.array(rows)), _place(b.column(1), at, rows)],
+                        names=["hi", "lo", "key", "place"],
+                    )
+
+    return met.mapInArrow(run, "hi bigint, lo bigint, key bigint, place bigint")
+
 
-    return met.mapInArrow(run, ", ".join(f"{d} bigint" for d in names) + ", key bigint, mark int, first int")
+def digits_of(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+    """The four digits, most significant first."""
+    h, w = hi.view(U64), lo.view(U64)
+    low = U64((1 << 32) - 1)
+    return [h >> U64(32), h & low, w >> U64(32), w & low]
 
 
 def candidates(docs: DataFrame, tokens: Callable[[], Tokens], shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Units whose anchor occurs in more than one place, with their class, and the stretches to compare window by window.
+    """Units whose anchor occurs more than once, and the stretches to compare window by window.
 
-    The first table has anchor, content, key, mark, first, n. The second has one stretch (key, mark,
-    first, n: the earliest) for each content whose anchor also occurs with other content.
+    The first table has anchor, content, key, place, n. The second has one stretch (key, place, n:
+    the earliest) for each content whose anchor also occurs with other content.
     """
     every = unit_rows(docs, tokens, shape)
-    place = F.struct("key", "mark", "first")
     # counted apart first: a common anchor is one row a task here, and the join below is split where an anchor is hot
-    twice = every.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
+    twice = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     kept = cut(every.join(twice, "anchor", "left_semi"), "units")
-    classes = kept.groupBy("anchor", "content").agg(F.min(F.struct("key", "mark", "first", "n")).alias("least"))
+    release(docs.sparkSession)
+    classes = kept.groupBy("anchor", "content").agg(F.min(F.struct("key", "place", "n")).alias("least"))
     several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     return kept, classes.join(several, "anchor", "left_semi").select("least.*")
 
 
-def dealt_by_prefix(windows: DataFrame, blocks: int, room: int) -> DataFrame:
-    """``windows`` with ``part`` and ``salt``: groups of at most about ``room`` rows by a prefix of the digits.
+#: Columns that name the prefix of so many digits.
+_PREFIX = {1: ("shiftrightunsigned(hi, 32)",), 2: ("hi",), 3: ("hi", "shiftrightunsigned(lo, 32)"), 4: ("hi", "lo")}
+
+
+def dealt_by_prefix(windows: DataFrame, room: int) -> DataFrame:
+    """``windows`` dealt into partitions by a prefix of their digits and sorted in them, with ``salted``.
 
     A prefix is as long as it must be: digits are added while more than ``room`` windows share it.
-    Windows that share all digits and are still too many are dealt further by salt. Prefixes that
-    are too common are counted with a combine before the shuffle and are at most rows / room.
+    Windows that share all digits and are still too many are dealt further by salt. Common prefixes
+    are counted with a combine before the shuffle, and are at most rows / room.
     """
-    names = [f"d{k + 1}" for k in range(blocks)]
-    rows = windows.withColumn("depth", F.lit(1)).withColumn("salts", F.lit(1))
-    for k in range(1, blocks + 1):
-        prefix = names[:k]
-        common = rows.where(F.col("depth") == k).groupBy(*prefix).agg(F.count("*").alias("c")).where(F.col("c") > room)
+    rows, depth, salts = windows, F.lit(1), F.lit(1)
+    for k, prefix in _PREFIX.items():
+        named = [F.expr(e).alias(f"p{i}") for i, e in enumerate(prefix)]
+        names = [f"p{i}" for i in range(len(prefix))]
+        common = rows.where(depth == k).select(*named).groupBy(*names).agg(F.count("*").alias("c")).where(F.col("c") > room)
         common = cut(common, "common")
         if common.limit(1).count() == 0:
             break
-        rows = rows.join(common, prefix, "left")
-        deeper = F.col("c").isNotNull()
-        rows = rows.select(
-            *windows.columns,
-            F.when(deeper & F.lit(k < blocks), k + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(deeper & F.lit(k == blocks), F.ceil(F.col("c") / room)).otherwise(F.col("salts")).cast("int").alias("salts"),
-        )
-    part = F.xxhash64("depth", *(F.when(F.col("depth") > k, F.col(d)) for k, d in enumerate(names)))
-    return rows.select(*windows.columns, part.alias("part"), F.pmod(F.xxhash64("key", "mark", "first"), F.col("salts")).cast("int").alias("salt"), (F.col("salts") > 1).alias("salted"))
+        joined = rows.select(*rows.columns, *named).join(common, names, "left")
+        longer = F.when(F.col("c").isNotNull(), F.lit(min(k + 1, 4))).otherwise(depth)
+        pieces = F.when(F.col("c").isNotNull() & F.lit(k == 4), F.ceil(F.col("c") / room).cast("int")).otherwise(salts)
+        rows = joined.select(*windows.columns, longer.alias("depth"), pieces.alias("salts"))
+        depth, salts = F.col("depth"), F.col("salts")
+    plain = "depth" not in rows.columns
+    if plain:
+        by = [F.shiftrightunsigned("hi", 32)]
+    else:
+        salt = F.pmod(F.xxhash64("key", "place"), salts)
+        by = [F.xxhash64(depth, F.shiftrightunsigned("hi", 32), F.when(depth >= 2, F.col("hi")), F.when(depth >= 3, F.shiftrightunsigned("lo", 32)), F.when(depth == 4, F.col("lo")), salt)]
+    dealt = rows.repartition(*by).sortWithinPartitions("hi", "lo")
+    return dealt.select(*windows.columns, (F.lit(False) if plain else salts > 1).alias("salted"))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], by: tuple[int, ...], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
@@ -279,7 +302,6 @@ def marked(stretches: list[dict], length: int, size: int) -> np.ndarray:
 
 
 def with_stretches(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """body of every row of ``docs``, with the list of its stretches (null for none): columns key, body, spans."""
-    lists = stretches.groupBy("key", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    lists = lists.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "spans")
+    """key, body and spans (the list of its stretches, null for none) of every row of ``docs``."""
+    lists = by_document(stretches)
     return docs.join(lists, (F.col("key") == F.col("k2")) & (F.col("mark") == F.col("m2")), "left").select("key", "body", "spans")

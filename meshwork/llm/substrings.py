@@ -1,7 +1,7 @@
 """Repeated word sequences by suffix trees over groups of suffixes with a common prefix.
 
 Suffixes are the windows that :mod:`meshwork.llm.repeats` leaves in question, written in digits of
-four words. Prefixes of as many digits as needed deal them into groups of bounded size; a task
+five words. Prefixes of as many digits as needed deal them into groups of bounded size; a task
 builds the tree of its groups from the sorted suffixes and the digits that neighbours share. A node
 as deep as a window with two leaves or more is a sequence that repeats: all but its earliest
 leaf go.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import repeats
 from meshwork.llm.common import table
-from meshwork.plans.scratch import cut
+from meshwork.plans.scratch import cut, release
 
-SHAPE = repeats.Shape(length=20, gram=8, blocks=5)
+SHAPE = repeats.Shape(length=20, gram=8)
 #: Suffixes of one prefix above which the prefix grows, or at full length the group is salted.
 ROOM = 200_000
 _CACHE = 1 << 20
@@ -85,52 +85,40 @@ def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def later_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
-    """The windows (key, mark, first) whose sequence also starts earlier."""
-    blocks = SHAPE.blocks
-    dealt = repeats.dealt_by_prefix(windows, blocks, room)
-    names = [f"d{k + 1}" for k in range(blocks)]
+    """The windows (key, place) whose sequence also starts earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in repeats.chunks(batches, (0, 1)):
-            part, salt, salted, key, mark, first = cols[:6]
-            digits = np.stack([part, salt.astype(np.int64), *cols[6:]], axis=1)
-            tree = Forest.grow(digits, (key, mark, first))
-            deep = tree.depth == digits.shape[1]
-            low, high = tree.low[deep], tree.high[deep]
-            size = high - low
+        for hi, lo, key, place, salted in repeats.chunks(batches, (0, 1)):
+            tree = Forest.grow(np.stack(repeats.digits_of(hi, lo), axis=1), (key, place))
+            deep = tree.depth == 4
+            low, size = tree.low[deep], (tree.high - tree.low)[deep]
             leaf = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
             a, b = tree.order[np.repeat(low, size)], tree.order[leaf]
-            later = (key[a] != key[b]) | (mark[a] != mark[b]) | (first[a] != first[b])
-            gone = b[later]
+            gone = b[(key[a] != key[b]) | (place[a] != place[b])]
             # In a salted group the earliest leaf of each piece still has to meet those of the others.
-            rest = np.setdiff1d(np.flatnonzero(salted), gone) if salted.any() else gone[:0]
+            rest = np.setdiff1d(np.flatnonzero(salted), gone)
             both = np.concatenate([gone, rest])
             if len(both):
-                flag = np.zeros(len(both), bool)
-                flag[len(gone) :] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[both]) for x in (key, mark, first)] + [pa.array(flag)] + [pa.array(x[both]) for x in cols[6:]],
-                    names=["key", "mark", "first", "open", *names],
-                )
-
-    schema = "key bigint, mark int, first int, open boolean, " + ", ".join(f"{d} bigint" for d in names)
-    sorted_rows = dealt.repartition("part", "salt").sortWithinPartitions("part", "salt").select("part", "salt", "salted", "key", "mark", "first", *names)
-    found = cut(sorted_rows.mapInArrow(run, schema), "leaves")
-    place = F.struct("key", "mark", "first")
+                flag = np.arange(len(both)) >= len(gone)
+                yield pa.RecordBatch.from_arrays([pa.array(x[both]) for x in (hi, lo, key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
+
+    found = cut(repeats.dealt_by_prefix(windows, room).mapInArrow(run, "hi bigint, lo bigint, key bigint, place bigint, open boolean"), "leaves")
+    spot = F.struct("key", "place")
     pieces = found.where("open").distinct()
-    least = pieces.groupBy(*names).agg(F.min(place).alias("least"))
-    late = pieces.join(least, names).where(place != F.col("least"))
-    return found.where("NOT open").select("key", "mark", "first").union(late.select("key", "mark", "first"))
+    least = pieces.groupBy("hi", "lo").agg(F.min(spot).alias("least"))
+    late = pieces.join(least, ["hi", "lo"]).where(spot != F.col("least"))
+    return found.where("NOT open").select("key", "place").union(late.select("key", "place"))
 
 
 def removed_stretches(docs: DataFrame, room: int = ROOM) -> DataFrame:
-    """Windows of ``docs`` (made by repeats.keyed) that also start earlier, as stretches: key, mark, first, n."""
+    """Windows of ``docs`` (made by repeats.keyed) that also start earlier, as stretches: key, place, n."""
     units, open_ones = repeats.candidates(docs, word_tokens, SHAPE)
-    place = F.struct("key", "mark", "first")
-    least = units.groupBy("anchor", "content").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").drop("most")
-    copies = units.join(least, ["anchor", "content"]).where(place != F.col("least")).select("key", "mark", "first", "n")
-    single = later_windows(cut(repeats.windows_of(docs, open_ones, word_tokens, SHAPE), "suffixes"), room)
-    return copies.union(single.select("key", "mark", "first", F.lit(1).alias("n")))
+    spot = F.struct("key", "place")
+    least = units.groupBy("anchor", "content").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).where("least <> most").drop("most")
+    copies = units.join(least, ["anchor", "content"]).where(spot != F.col("least")).select("key", "place", "n")
+    suffixes = cut(repeats.windows_of(docs, open_ones, word_tokens, SHAPE), "suffixes")
+    release(docs.sparkSession)
+    return copies.union(later_windows(suffixes, room).select("key", "place", F.lit(1).alias("n")))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM) -> DataFrame:
@@ -142,7 +130,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
     a hash of the text.
     """
     rows = repeats.keyed(docs, key, text)
-    met = repeats.with_stretches(rows, cut(removed_stretches(rows, room), "removed"))
+    gone = cut(removed_stretches(rows, room), "removed")
+    release(docs.sparkSession)
+    met = repeats.with_stretches(rows, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
