@@ -444,7 +444,14 @@ def bfs_levels(spark, d):
     return centrality.bfs_levels(kg.both_ways(kg.geography(spark, d)), spark.createDataFrame([("R0",)], "id string"))
 
 
-@query("WITH e AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), p1 AS (SELECT dst AS id, ['C1', dst] AS p FROM e WHERE src = 'C1'), p2 AS (SELECT e.dst AS id, min(list_append(p, e.dst)) AS p FROM p1 JOIN e ON e.src = p1.id GROUP BY e.dst), p3 AS (SELECT e.dst AS id, min(list_append(p, e.dst)) AS p FROM p2 JOIN e ON e.src = p2.id WHERE e.dst = 'C2' GROUP BY e.dst), f AS (SELECT 1 AS hops, p AS path FROM p1 WHERE id = 'C2' UNION ALL SELECT 2, p FROM p2 WHERE id = 'C2' UNION ALL SELECT 3, p FROM p3) SELECT hops, path FROM f ORDER BY hops LIMIT 1")
+def _paths_sql(source: str, target: str, hops: int) -> str:
+    steps = [f"p1 AS (SELECT dst AS id, ['{source}', dst] AS p FROM e WHERE src = '{source}')"]
+    steps += [f"p{k} AS (SELECT e.dst AS id, min(list_append(p, e.dst)) AS p FROM p{k - 1} JOIN e ON e.src = p{k - 1}.id GROUP BY e.dst)" for k in range(2, hops + 1)]
+    found = " UNION ALL ".join(f"SELECT {k} AS hops, p AS path FROM p{k} WHERE id = '{target}'" for k in range(1, hops + 1))
+    return f"WITH e AS (SELECT src, dst FROM kg_edges WHERE src <> dst UNION SELECT dst, src FROM kg_edges WHERE src <> dst), {', '.join(steps)}, f AS ({found}) SELECT hops, path FROM f ORDER BY hops LIMIT 1"
+
+
+@query(_paths_sql("C1", "C2", 6))
 def shortest_path(spark, d):
     return centrality.shortest_path(kg.edges(spark, d), "C1", "C2")
 
