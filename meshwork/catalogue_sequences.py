@@ -438,3 +438,13 @@ def analogy(spark, d):
     v = _vec(spark, d).select(F.col("vec_id").alias("word"), F.col("e").alias("vector"))
     q = v.where("word % 20 = 0").select(F.col("word").alias("a"), (F.col("word") + 1).alias("b"), (F.col("word") + 2).alias("c"), F.lit(0).alias("expected"))
     return corpus.analogy(v, q).select("a", "b", "c", "word")
+
+
+@query("WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('batch|' || o_orderkey), o_orderkey) - 1 AS n FROM orders) SELECT o_orderkey, (n // 64)::BIGINT AS batch FROM h")
+def minibatches(spark, d):
+    return etl.batches(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 64)
+
+
+@query("WITH h AS (SELECT src AS a, dst AS b, row_number() OVER (ORDER BY md5('analogy|' || src || '|' || dst), src, dst) - 1 AS n FROM supplies WHERE weight > 1) SELECT x.a, x.b, y.a AS c, y.b AS expected FROM h x JOIN h y ON y.n = x.n + 1 WHERE x.n % 2 = 0")
+def analogy_samples(spark, d):
+    return etl.analogy_samples(kg.supplies(spark, d).where("weight > 1").select(F.col("src").alias("a"), F.col("dst").alias("b")))

@@ -86,3 +86,27 @@ def balanced_split(nodes: DataFrame, column: str, percent: float, seed: str = "b
     r = h.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy("h", "id"))).join(F.broadcast(size)).withColumn("train", F.col("r") <= F.col("k"))
     rest = split(r.where("NOT train").select("id"), ["id"], 0.5, seed)
     return r.where("train").select("id", F.lit("train").alias("split")).union(rest.select("id", F.when(F.col("split") == "test", "valid").otherwise("test").alias("split")))
+
+
+def batches(rows: DataFrame, key: list[str], size: int, seed: str = "batch") -> DataFrame:
+    """``rows`` with ``batch``: consecutive runs of ``size`` rows in hash order."""
+    h = rows.withColumn("__h", hashed(F.lit(seed), *(F.col(k) for k in key)))
+    return numbered(h, [F.col("__h"), *(F.col(k) for k in key)], "__n").withColumn("batch", F.floor(F.col("__n") / size)).drop("__h", "__n")
+
+
+def analogy_samples(pairs: DataFrame, seed: str = "analogy") -> DataFrame:
+    """a, b, c, expected: positive pairs (a, b) two by two in hash order."""
+    n = numbered(pairs.select("a", "b", hashed(F.lit(seed), F.col("a"), F.col("b")).alias("h")), [F.col("h"), F.col("a"), F.col("b")])
+    second = n.where("idx % 2 = 1").select((F.col("idx") - 1).alias("idx"), F.col("a").alias("c"), F.col("b").alias("expected"))
+    return n.where("idx % 2 = 0").join(second, "idx").select("a", "b", "c", "expected")
+
+
+def orient(triples: DataFrame, swapped: list[str]) -> DataFrame:
+    """head, tail of (head, rel, tail), turned round for the relations in ``swapped``, once each."""
+    turn = F.col("rel").isin(*swapped)
+    return triples.select(F.when(turn, F.col("tail")).otherwise(F.col("head")).alias("head"), F.when(turn, F.col("head")).otherwise(F.col("tail")).alias("tail")).distinct()
+
+
+def unseen_pairs(left: DataFrame, right: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: every pair of the two sets (a), (b) that is not in ``known`` (a, b). The result is the product's own size."""
+    return left.join(right).join(known, ["a", "b"], "left_anti")
