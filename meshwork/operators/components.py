@@ -12,7 +12,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link each neighbour larger than u to the least vertex of u's closed neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    # a table of its own, so that adaptive execution can split the join at a hub
+    least = cut(least.select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 

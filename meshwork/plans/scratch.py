@@ -34,12 +34,12 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that no plan needs any more."""
+    """Delete a table made by :func:`cut` once what was computed from it is itself written."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+    files = df.inputFiles()
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
