@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import repeats
 from meshwork.llm.common import table
-from meshwork.plans.scratch import cut, release
+from meshwork.plans.scratch import cut, drop, release
 
 SHAPE = repeats.Shape(length=200, gram=130)
 ROOM = 200_000
@@ -47,7 +47,7 @@ def radix_groups(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
-    """The windows (key, place) whose bytes also start at another place."""
+    """Of a table made by cut, which is dropped at the end: the windows (key, place) whose bytes also start at another place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hi, lo, key, place, salted in repeats.chunks(batches, (0, 1)):
@@ -65,9 +65,11 @@ def repeated_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
             both = np.concatenate([found, rest])
             if len(both):
                 flag = np.arange(len(both)) >= len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(x[both]) for x in (hi, lo, key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[both], mask=~flag) for x in (hi, lo)] + [pa.array(x[both]) for x in (key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
 
     found = cut(repeats.dealt_by_prefix(windows, room).mapInArrow(run, "hi bigint, lo bigint, key bigint, place bigint, open boolean"), "groups")
+    drop(windows)
+    release(windows.sparkSession)
     spot = F.struct("key", "place")
     pieces = found.where("open").select("hi", "lo", "key", "place")
     met = pieces.groupBy("hi", "lo").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("hi", "lo")
@@ -80,6 +82,7 @@ def removed_stretches(docs: DataFrame, room: int = ROOM) -> DataFrame:
     units, open_ones = repeats.candidates(docs, byte_tokens, SHAPE)
     spot = F.struct("key", "place")
     twice = units.groupBy("anchor", "content").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("anchor", "content")
+    twice = cut(twice, "repeated")  # a table of its own: the join is then split where a content is very common
     copies = units.join(twice, ["anchor", "content"], "left_semi").select("key", "place", "n")
     suffixes = cut(repeats.windows_of(docs, open_ones, byte_tokens, SHAPE), "suffixes")
     release(docs.sparkSession)

@@ -221,12 +221,14 @@ def candidates(docs: DataFrame, tokens: Callable[[], Tokens], shape: Shape) -> t
     the earliest) for each content whose anchor also occurs with other content.
     """
     every = unit_rows(docs, tokens, shape)
-    # counted apart first: a common anchor is one row a task here, and the join below is split where an anchor is hot
-    twice = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Counted apart first: a common anchor is one row a task here. Each count is a table of its own, so that
+    # adaptive execution can split the join with it where an anchor is hot.
+    twice = cut(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
+    release(docs.sparkSession)
     kept = cut(every.join(twice, "anchor", "left_semi"), "units")
     release(docs.sparkSession)
-    classes = kept.groupBy("anchor", "content").agg(F.min(F.struct("key", "place", "n")).alias("least"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    classes = cut(kept.groupBy("anchor", "content").agg(F.min(F.struct("key", "place", "n")).alias("least")), "classes")
+    several = cut(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
     return kept, classes.join(several, "anchor", "left_semi").select("least.*")
 
 

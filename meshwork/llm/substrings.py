@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import repeats
 from meshwork.llm.common import table
-from meshwork.plans.scratch import cut, release
+from meshwork.plans.scratch import cut, drop, release
 
 SHAPE = repeats.Shape(length=20, gram=8)
 #: Suffixes of one prefix above which the prefix grows, or at full length the group is salted.
@@ -85,7 +85,7 @@ def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def later_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
-    """The windows (key, place) whose sequence also starts earlier."""
+    """Of a table made by cut, which is dropped at the end: the windows (key, place) whose sequence also starts earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hi, lo, key, place, salted in repeats.chunks(batches, (0, 1)):
@@ -100,9 +100,11 @@ def later_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
             both = np.concatenate([gone, rest])
             if len(both):
                 flag = np.arange(len(both)) >= len(gone)
-                yield pa.RecordBatch.from_arrays([pa.array(x[both]) for x in (hi, lo, key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[both], mask=~flag) for x in (hi, lo)] + [pa.array(x[both]) for x in (key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
 
     found = cut(repeats.dealt_by_prefix(windows, room).mapInArrow(run, "hi bigint, lo bigint, key bigint, place bigint, open boolean"), "leaves")
+    drop(windows)
+    release(windows.sparkSession)
     spot = F.struct("key", "place")
     pieces = found.where("open").distinct()
     least = pieces.groupBy("hi", "lo").agg(F.min(spot).alias("least"))
@@ -115,6 +117,7 @@ def removed_stretches(docs: DataFrame, room: int = ROOM) -> DataFrame:
     units, open_ones = repeats.candidates(docs, word_tokens, SHAPE)
     spot = F.struct("key", "place")
     least = units.groupBy("anchor", "content").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).where("least <> most").drop("most")
+    least = cut(least, "least")  # a table of its own: the join is then split where a content is very common
     copies = units.join(least, ["anchor", "content"]).where(spot != F.col("least")).select("key", "place", "n")
     suffixes = cut(repeats.windows_of(docs, open_ones, word_tokens, SHAPE), "suffixes")
     release(docs.sparkSession)
