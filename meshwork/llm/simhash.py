@@ -156,7 +156,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFr
                 r, k, h = anchors(part, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(part[r].view(np.int64)), pa.array(h)], names=["anchor", "fp", "home"])
 
-    blocks = LARGE_BLOCKS if prints.limit(LARGE + 1).count() > LARGE else BLOCKS
+    blocks = LARGE_BLOCKS if prints.count() > LARGE else BLOCKS
     copies = prints.select("fp").mapInArrow(spread, "anchor bigint, fp bigint, home boolean")
     crowded = copies.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     crowded = cut(crowded.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("tiles")), "crowded")
