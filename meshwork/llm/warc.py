@@ -167,11 +167,12 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     ``min_bytes`` bytes, the record with the largest page_id is the response; a null page_id is
     smaller than any, and rows that repeat the largest page_id are all responses. Only page_ids
     and digests are grouped, combined before the shuffle; payloads then meet their group's
-    page_id in a join that adaptive execution splits where a payload is very common.
+    page_id in a join that adaptive execution splits where a payload is very common (the groups
+    are a table of their own, or the join would have to keep the aggregation's partitions).
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), utf8(F.col("html")).alias("payload"))
     rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
-    first = rows.groupBy("same").agg(F.max("page_id").alias("first"))
+    first = cut(rows.groupBy("same").agg(F.max("page_id").alias("first")), "first")
     joined = rows.join(first, "same")
     revisit = (F.col("size") >= min_bytes) & F.coalesce(F.col("page_id") < F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull())
     # sha1() of a binary is hex; base32 needs the bytes and is written with the record
