@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm import decontaminate, mixing, quality, secrets, simhash
+from meshwork.llm import decontaminate, mixing, nearcopies, quality, secrets
 from meshwork.llm.common import table
 from meshwork.plans.scratch import cut
 
@@ -20,8 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHashes over five-word shingles are linked at four bits or fewer (a similarity of 0.94)."""
-    return simhash.one_of_each(docs, size=5)
+    """One document of each group linked by sets of five-word shingles of Jaccard similarity 0.8 or more.
+
+    Near copies lie further apart than the four bits of SimHash that op10 links, so pairs are found by the shingles themselves.
+    """
+    return nearcopies.one_of_each(docs, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
