@@ -1,8 +1,9 @@
 """Secrets in texts: three fixed patterns, and strings that a tokenizer needs many tokens for.
 
 Natural text takes a tokenizer three to five characters a token; random keys take fewer than two.
-A run of key characters is a finding if it mixes letters and digits, is not a known digest or
-identifier, and has a low ratio of characters to tokens.
+A run of key characters is a finding if it mixes letters and digits (or cases, often), is not a known
+digest or identifier, and has a low ratio of characters to tokens. Of a run that is no finding as a
+whole, such as a key behind a long name or path, the stretches of short tokens are judged.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern by which the public 50k byte-level vocabulary splits text.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_RATIO = 2.0
-MIN_RUN = 20
+MIN_RUN = 16
 KINDS = ("assign", "access", "hex", "random")
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -32,6 +35,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
+_RISE = re.compile(r"[a-z](?=[A-Z])")
+_WORD = re.compile(r"[A-Za-z0-9]+")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 #: Lengths in hex digits of the usual digests (MD5, SHA-1, SHA-2).
 _DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -64,19 +69,79 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _mixed(run: str) -> bool:
+    """Letters and digits, or three changes from lower to upper case."""
+    return bool(_LETTER.search(run)) and bool(_DIGIT.search(run)) or len(_RISE.findall(run)) >= 3
+
+
+def _dense(scores: list[float]) -> list[tuple[int, int]]:
+    """The maximal stretches of positive sum (Ruzzo and Tompa), in order."""
+    kept: list[tuple[int, int, float, float]] = []
+    total = 0.0
+    for i, x in enumerate(scores):
+        if x > 0:
+            start, left, right = i, total, total + x
+            while True:
+                j = len(kept) - 1
+                while j >= 0 and kept[j][2] >= left:
+                    j -= 1
+                if j < 0 or kept[j][3] >= right:
+                    break
+                start, left = kept[j][0], kept[j][2]
+                del kept[j:]
+            kept.append((start, i + 1, left, right))
+        total += x
+    return [(s, e) for s, e, _, _ in kept]
+
+
+def _stretches(run: str, ranks: bytes, split: str, max_ratio: float) -> list[tuple[int, int]]:
+    """Stretches of short tokens, each widened to whole letters-and-digits words and joined where they then touch."""
+    code = _encoding(ranks, split)
+    lengths = [len(code.decode_single_token_bytes(t)) for t in code.encode_ordinary(run)]
+    at = [0, *accumulate(lengths)]
+    words = [m.span() for m in _WORD.finditer(run)]
+    starts = [w[0] for w in words]
+    out: list[tuple[int, int]] = []
+    for i, j in _dense([max_ratio - n for n in lengths]):
+        s, e = at[i], at[j]
+        s += len(run[s:e]) - len(run[s:e].lstrip("="))
+        k = bisect_right(starts, s) - 1
+        if k >= 0 and words[k][1] > s:
+            s = words[k][0]
+        k = bisect_right(starts, e - 1) - 1
+        if k >= 0 and words[k][1] > e:
+            e = words[k][1]
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_spans(text: str, ranks: bytes, split: str, max_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs outside ``taken`` whose characters per token are at most ``max_ratio``."""
-    if not _DIGIT.search(text):
-        return []
-    found = []
+    """Runs outside ``taken``, or stretches of them, whose characters per token are at most ``max_ratio``."""
+    code, found = None, []
+
+    def is_random(run: str) -> bool:
+        return len(run) >= MIN_RUN and _mixed(run) and not known_identifier(run) and len(run) <= max_ratio * len(code.encode_ordinary(run))
+
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not (_DIGIT.search(run) and _LETTER.search(run)) or known_identifier(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        if not _mixed(m[0]):
             continue
-        if len(run) <= max_ratio * len(_encoding(ranks, split).encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        code = code or _encoding(ranks, split)
+        at, parts = m.start(), []
+        for s, _, e in taken:
+            if s < m.end() and at < e:
+                parts.append((at, s))
+                at = max(at, e)
+        for s, e in [*parts, (at, m.end())]:
+            part = text[s:e]
+            if e - s < MIN_RUN or not _mixed(part) or known_identifier(part):
+                continue
+            if is_random(part):
+                found.append((s, 3, e))
+            else:
+                found += [(s + a, 3, s + b) for a, b in _stretches(part, ranks, split, max_ratio) if is_random(part[a:b])]
     return found
 
 
