@@ -6,23 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.functions.scalars import cosine, dot, hashed
+from meshwork.functions.scalars import dot, hashed
+from meshwork.operators import tiles
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, typed: bool = False) -> DataFrame:
     """query, id, score, rank: the k other vectors of greatest cosine (equal scores by id).
 
-    A stated set of queries meets all vectors; ``queries`` (query, vector[, type]) is the side that is
-    sent around. Each task keeps its best k a query before anything is shuffled, so rows grow with
-    queries, not with vectors. ``typed``: only vectors of another type.
+    ``queries`` is (query, vector[, type]), ``vectors`` (id, vector[, type]); they meet in tiles of
+    bounded size. ``typed``: only vectors of another type.
     """
-    pair = queries.select("query", F.col("vector").alias("qv"), *([F.col("type").alias("qt")] if typed else [])).join(vectors, F.col("query") != F.col("id"))
-    pair = pair.where("type <> qt") if typed else pair
-    s = pair.select("query", "id", cosine(F.col("qv"), F.col("vector")).alias("score"))
-    first = W.partitionBy("query", "__task").orderBy(F.desc("score"), "id")
-    s = s.withColumn("__task", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return s.withColumn("rank", best).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+    return tiles.nearest(queries.withColumn("skip", F.array("query")), vectors, k, typed)
 
 
 def mean_by(vectors: DataFrame, key: str, how: str = "avg") -> DataFrame:
