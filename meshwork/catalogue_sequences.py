@@ -9,7 +9,7 @@ from meshwork.catalogue import SNAP, _s, query
 from meshwork.functions import scalars as fn
 from meshwork.functions.scalars import snap
 from meshwork.graph import PropertyGraph
-from meshwork.operators import communities, corpus, etl, vectors, walks
+from meshwork.operators import communities, corpus, etl, tiles, vectors, walks
 from meshwork.plans import kg
 from meshwork.plans.kg import read
 
@@ -77,10 +77,9 @@ def _vec(spark, d):
 
 @query(_EMB + f", q AS (SELECT * FROM v WHERE vec_id % 20 = 0) SELECT q.vec_id AS a, v.vec_id AS b, {_s('list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)))')} AS cosine, {_s('list_distance(q.e, v.e)')} AS euclid FROM q, v WHERE q.vec_id <> v.vec_id")
 def cosine_pairs(spark, d):
-    v = _vec(spark, d)
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("e").alias("x"))
-    p = q.join(v.select(F.col("vec_id").alias("b"), F.col("e").alias("y")), F.col("a") != F.col("b"))
-    return p.select("a", "b", snap(fn.cosine(F.col("x"), F.col("y"))).alias("cosine"), snap(fn.euclidean(F.col("x"), F.col("y"))).alias("euclid"))
+    v = _vec(spark, d).select(F.col("vec_id").alias("id"), F.col("e").alias("vector"))
+    p = tiles.all_scores(v.where("id % 20 = 0").withColumnRenamed("id", "query"), v)
+    return p.select(F.col("query").alias("a"), F.col("id").alias("b"), snap("cosine").alias("cosine"), snap("euclid").alias("euclid"))
 
 
 @query(_EMB + f" SELECT vec_id, list_transform(e, lambda x: {SNAP.format('(x - list_min(e)) / (list_max(e) - list_min(e))')}) AS m, list_transform(e, lambda x: {SNAP.format('x / sqrt(list_dot_product(e, e))')}) AS l2 FROM v")
