@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import keep_probability, uniform
+from meshwork.operators import tiles
 from meshwork.plans.ranking import numbered
 
 
@@ -81,18 +82,29 @@ def cooccurrence(walks: DataFrame) -> DataFrame:
 
 
 def analogy(vectors: DataFrame, quads: DataFrame, top: int = 1) -> DataFrame:
-    """For (a, b, c, expected) the words nearest to b + c - a by cosine, other than a, b and c: a, b, c, expected, word, rank."""
-    from meshwork.functions.scalars import cosine
+    """For (a, b, c, expected) the words nearest to b + c - a by cosine, other than a, b and c: a, b, c, expected, word, rank.
 
+    Quads with a word that has no vector are left out. Repeated quads are answered once each.
+    """
     v = vectors.select("word", "vector")
-    q = quads
+    q = quads.select("a", "b", "c", "expected")
     for x in ("a", "b", "c"):
         q = q.join(v.select(F.col("word").alias(x), F.col("vector").alias(f"v{x}")), x)
     aim = F.zip_with(F.zip_with("vb", "vc", lambda x, y: x + y), "va", lambda x, y: x - y)
-    near = q.select("a", "b", "c", "expected", aim.alias("aim")).join(v, (F.col("word") != F.col("a")) & (F.col("word") != F.col("b")) & (F.col("word") != F.col("c")))
-    s = near.select("a", "b", "c", "expected", "word", cosine(F.col("aim"), F.col("vector")).alias("score"))
-    best = F.row_number().over(W.partitionBy("a", "b", "c", "expected").orderBy(F.desc("score"), "word"))
-    return s.withColumn("rank", best).where(F.col("rank") <= top)
+    asked = q.select(F.struct("a", "b", "c").alias("query"), aim.alias("vector"), F.array("a", "b", "c").alias("skip")).dropDuplicates(["query"])
+    got = tiles.nearest(asked.withColumn("query", F.to_json("query")), v.withColumnRenamed("word", "id"), top)
+    named = q.select("a", "b", "c", "expected", F.to_json(F.struct("a", "b", "c")).alias("query"))
+    return named.join(got, "query").select("a", "b", "c", "expected", F.col("id").alias("word"), "score", "rank")
+
+
+def analogy_accuracy(vectors: DataFrame, quads: DataFrame) -> DataFrame:
+    """section, n, right, accuracy of quads (section, a, b, c, expected): how often the nearest word is the expected one.
+
+    Quads with an unknown word count as wrong.
+    """
+    hit = analogy(vectors, quads.select("a", "b", "c", "expected").distinct()).where("word = expected").select("a", "b", "c", "expected", F.lit(1).alias("hit"))
+    s = quads.join(hit, ["a", "b", "c", "expected"], "left").groupBy("section").agg(F.count("*").alias("n"), F.count("hit").alias("right"))
+    return s.select("section", "n", "right", (F.col("right") / F.col("n")).alias("accuracy"))
 
 
 def windows(items: Column, size: int) -> Column:
