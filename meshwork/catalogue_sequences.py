@@ -426,9 +426,7 @@ def eval_set(spark, d):
 def f1_at_hits(spark, d):
     v = _vec(spark, d).select(F.col("vec_id").alias("id"), F.col("e").alias("vector"), "label")
     q = v.where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
-    ranked = vectors.nearest(q, v.select("id", "vector"), 50)
-    pairs = v.where("id % 20 = 0").select(F.col("id").alias("a"), F.col("label").alias("x")).join(v.select(F.col("id").alias("b"), F.col("label").alias("y")), F.col("a") != F.col("b"))
-    out = vectors.hits_f1(ranked, pairs.select("a", "b", (F.col("x") == F.col("y")).cast("int").alias("label")), [10, 25, 50])
+    out = vectors.hits_f1_by_class(vectors.nearest(q, v.select("id", "vector"), 50), v.select("id", "label"), q.select("query"), [10, 25, 50])
     return out.select("hit", "tp", "fp", "fn", snap("f1").alias("f1"))
 
 

@@ -131,6 +131,24 @@ def confusion_metrics(pairs: DataFrame) -> DataFrame:
     return t.agg(acc.alias("accuracy"), F.avg(p).alias("macro_precision"), F.avg(r).alias("macro_recall"), F.avg(f).alias("macro_f1"), acc.alias("micro_f1"), (1 - acc).alias("hamming"), (1 - acc).alias("zero_one"))
 
 
+def hits_f1_by_class(ranked: DataFrame, classes: DataFrame, queries: DataFrame, hits: list[int]) -> DataFrame:
+    """hits_f1 over all pairs of a query and another row, labelled by whether their classes (id, label) are equal.
+
+    Only ranked pairs become rows: the pairs that nothing ranks are counted from the classes' sizes.
+    """
+    best = ranked.select(F.col("query").alias("a"), F.col("id").alias("b"), "rank").union(ranked.select("id", "query", "rank")).groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    best = best.join(queries.select(F.col("query").alias("a")), "a", "left_semi")
+    best = best.join(classes.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+    same, hit = F.col("x") == F.col("y"), F.explode(F.array(*map(F.lit, hits))).alias("hit")
+    said = best.select("rank", same.alias("same"), hit).where("rank <= hit").groupBy("hit").agg(F.sum(F.when(F.col("same"), 1).otherwise(0)).alias("tp"), F.sum(F.when(~F.col("same"), 1).otherwise(0)).alias("fp"))
+    sizes = classes.groupBy("label").agg(F.count("*").alias("n"))
+    asked = classes.join(queries.select(F.col("query").alias("id")), "id", "left_semi").groupBy("label").agg(F.count("*").alias("q"))
+    real = asked.join(sizes, "label").agg(F.coalesce(F.sum(F.col("q") * (F.col("n") - 1)), F.lit(0)).alias("real"))
+    every = real.select("real", hit).join(said, "hit", "left").na.fill(0, ["tp", "fp"]).withColumn("fn", F.col("real") - F.col("tp"))
+    den = F.col("tp") + 0.5 * (F.col("fp") + F.col("fn"))
+    return every.select("hit", "tp", "fp", "fn", F.when(den > 0, F.col("tp") / den).otherwise(F.lit(0.0)).alias("f1"))
+
+
 def hits_f1(ranked: DataFrame, labelled: DataFrame, hits: list[int]) -> DataFrame:
     """hit, tp, fp, fn, f1: a pair (a, b, label) counts as found if b is among a's first ``hit`` or a among b's."""
     best = ranked.select(F.col("query").alias("a"), F.col("id").alias("b"), "rank").union(ranked.select("id", "query", "rank")).groupBy("a", "b").agg(F.min("rank").alias("rank"))
