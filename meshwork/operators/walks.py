@@ -1,25 +1,29 @@
 """Random walks as rounds of joins; the only randomness is MD5 of seed, walk, step and candidate.
 
-A walk table is (walk_id, tokens, ...). A round joins the tips with their edges and keeps one
-candidate a walk by a minimum, which combines before the shuffle: a hub's many candidates cost a
-row a walk and task. Walks at a dead end stay as they are.
+A walk table is (walk_id, tokens), walk_id unique. Before the first round the edges of each node are
+packed into lists of bounded length, several for a hub. A round deals a tip to each list of its node;
+what comes out is the best candidate of each list, not every candidate, and the tip moves on. A round
+writes a row a walk that moved; the tokens are put together at the end. Walks at a dead end stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import hashed, uniform
 from meshwork.plans.scratch import cut
 
-_EDGE = ("src", "dst", "type", "weight")
+#: Neighbours in a list, about; tips of one node that a task takes; neighbours of a previous node that go along with the walk; edge types whose transitions do.
+ROOM, CROWD, FEW, TYPES = 512, 4096, 64, 1000
 
 
-def _draw(seed: str, step: Column) -> tuple[Column, Column]:
-    """Sort keys of a candidate: plain hash, and an exponential race's time for its weight."""
-    key = (F.lit(seed), F.col("walk_id"), step, F.col("dst"))
-    return hashed(*key), -F.log(F.greatest(uniform(*key), F.lit(1e-12))) / F.col("w")
+def _draw(seed: str, step: int, dst: Column, weight: Column | None = None) -> Column:
+    """What a candidate is chosen by, the least first: plain hash, or an exponential race's time for its weight."""
+    key = (F.lit(seed), F.col("walk_id"), F.lit(step), dst)
+    return hashed(*key) if weight is None else -F.log(F.greatest(uniform(*key), F.lit(1e-12))) / weight
 
 
 def start_walks(starts: DataFrame, per_node: int = 1) -> DataFrame:
@@ -28,21 +32,64 @@ def start_walks(starts: DataFrame, per_node: int = 1) -> DataFrame:
     return k.select(F.concat_ws("#", "id", "k").alias("walk_id"), F.array("id").alias("tokens"))
 
 
-def _extend(walks: DataFrame, chosen: DataFrame) -> DataFrame:
-    return walks.join(chosen, "walk_id", "left").select("walk_id", F.when(F.col("next").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("next"))).alias("tokens"))
+class _Lists:
+    """Edges (by..., dst, ...) as lists ``near`` of about ROOM structs, dealt by a hash of dst; ``spread`` has each node's number of lists."""
 
+    def __init__(self, edges: DataFrame, by: list[str], room: int | None = None):
+        self.by = by
+        n = edges.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(room or ROOM)).cast("int").alias("lists"))
+        self.spread = cut(n, "spread")  # a table of its own: the joins with it can be split at a hub
+        dealt = edges.join(self.spread, by).withColumn("list", F.pmod(F.xxhash64("dst"), F.col("lists")).cast("int"))
+        rest = [c for c in edges.columns if c not in by]
+        self.lists = cut(dealt.groupBy(*by, "list").agg(F.collect_list(F.struct(*rest)).alias("near")), "lists")
 
-def walk(edges: DataFrame, walks: DataFrame, length: int, seed: str = "walk", weighted: bool = False, cut_every: int = 4) -> DataFrame:
-    """Walks of up to ``length`` nodes along edges to other nodes, uniform or by weight."""
-    e = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    def meet(self, tips: DataFrame) -> DataFrame:
+        """Each tip once for each list of its node.
+
+        A task's time goes with tips times neighbours, not with bytes: rows are dealt by node, list and slice
+        of a crowd of tips into a fixed number of partitions, which adaptive execution does not merge.
+        """
+        n = int(tips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        crowds = tips.groupBy(*self.by).agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("slices")).where("slices > 1")
+        at = tips.join(self.spread, self.by).join(crowds, self.by, "left").withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).drop("lists")
+        at = at.withColumn("slice", F.pmod(F.xxhash64("walk_id"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+        lists = self.lists.join(crowds, self.by, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+        key = [*self.by, "list", "slice"]
+        return at.repartition(n, *key).join(lists.repartition(n, *key).hint("merge"), key)
+
+
+def _rounds(walks: DataFrame, length: int, choose: Callable[[DataFrame, int], DataFrame], state: dict[str, str]) -> DataFrame:
+    """Walks with what ``choose`` (tips, step) gives each tip: rows (walk_id, best) with best.dst, the least best of a walk counts.
+
+    Tips are (walk_id, src, prev) and the fields of ``best`` that ``state`` names with their types.
+    """
+    first = walks.select("walk_id", "tokens", F.size("tokens").alias("n")).where("n > 0")
+    begin = first.select("walk_id", "n", F.element_at("tokens", -1).alias("src"), F.when(F.col("n") > 1, F.get("tokens", F.col("n") - 2)).alias("prev"), *(F.lit(None).cast(t).alias(c) for c, t in state.items()))
+    steps, moved = [], None
     for step in range(1, length):
-        tips = walks.where(F.size("tokens") == step).select("walk_id", F.element_at("tokens", -1).alias("src"))
-        plain, race = _draw(seed, F.lit(step))
-        chosen = tips.join(e, "src").groupBy("walk_id").agg(F.min_by("dst", F.struct((race if weighted else plain).alias("r"), "dst")).alias("next"))
-        walks = _extend(walks, chosen)
-        if step % cut_every == 0:
-            walks = cut(walks, "walks")
-    return walks
+        tips = begin.where(F.col("n") == step).drop("n")
+        tips = tips if moved is None else tips.unionByName(moved.select("walk_id", F.col("best.dst").alias("src"), F.col("src").alias("prev"), *(F.col(f"best.{c}").alias(c) for c in state)))
+        best = choose(tips, step).groupBy("walk_id").agg(F.min("best").alias("best")).where("best IS NOT NULL")
+        moved = cut(best.join(tips.select("walk_id", "src"), "walk_id"), "moved")
+        steps.append(moved.select("walk_id", F.lit(step).alias("at"), F.col("best.dst").alias("token")))
+    if not steps:
+        return walks.select("walk_id", "tokens")
+    every = steps[0]
+    for x in steps[1:]:
+        every = every.union(x)
+    more = every.groupBy("walk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("more"))
+    return walks.join(more, "walk_id", "left").select("walk_id", F.when(F.col("more").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "more")).alias("tokens"))
+
+
+def walk(edges: DataFrame, walks: DataFrame, length: int, seed: str = "walk", weighted: bool = False) -> DataFrame:
+    """Walks of up to ``length`` nodes along edges to other nodes, uniform or by weight."""
+    near = _Lists(edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("w")), ["src"])
+
+    def choose(tips: DataFrame, step: int) -> DataFrame:
+        rank = lambda x: F.struct(_draw(seed, step, x["dst"], x["w"] if weighted else None).alias("r"), x["dst"].alias("dst"))
+        return near.meet(tips).select("walk_id", F.array_min(F.transform("near", rank)).alias("best"))
+
+    return _rounds(walks, length, choose, {})
 
 
 def metapath_types(metapath: list[str], length: int) -> list[str]:
@@ -62,16 +109,14 @@ def metapath_walk(edges: DataFrame, nodes: DataFrame, walks: DataFrame, metapath
     """Walks whose nodes have the metapath's types in turn, kept if they have ``keep`` nodes (as many as the metapath, if not given)."""
     types = metapath_types(metapath, length)
     kind = nodes.select("id", F.col("type").alias("kind"))
-    e = edges.where("src <> dst").select("src", "dst").distinct().join(kind.withColumnRenamed("id", "dst"), "dst")
-    walks = walks.join(kind.where(F.col("kind") == types[0]).select("id"), F.element_at("tokens", 1) == F.col("id"), "left_semi")
-    for step in range(1, length):
-        tips = walks.where(F.size("tokens") == step).select("walk_id", F.element_at("tokens", -1).alias("src"))
-        near = e.where(F.col("kind") == types[step])
-        chosen = tips.join(near, "src").groupBy("walk_id").agg(F.min_by("dst", F.struct(hashed(F.lit(seed), F.col("walk_id"), F.lit(step), F.col("dst")).alias("r"), "dst")).alias("next"))
-        walks = _extend(walks, chosen)
-        if step % 4 == 0:
-            walks = cut(walks, "walks")
-    return walks.where(F.size("tokens") >= (len(metapath) if keep is None else keep))
+    near = _Lists(edges.where("src <> dst").select("src", "dst").distinct().join(kind.withColumnRenamed("id", "dst"), "dst"), ["src", "kind"])
+    begin = walks.join(kind.where(F.col("kind") == types[0]).select("id"), F.element_at("tokens", 1) == F.col("id"), "left_semi")
+
+    def choose(tips: DataFrame, step: int) -> DataFrame:
+        rank = lambda x: F.struct(_draw(seed, step, x["dst"]).alias("r"), x["dst"].alias("dst"))
+        return near.meet(tips.withColumn("kind", F.lit(types[step]))).select("walk_id", F.array_min(F.transform("near", rank)).alias("best"))
+
+    return _rounds(begin, length, choose, {}).where(F.size("tokens") >= (len(metapath) if keep is None else keep))
 
 
 def schema_walk(edges: DataFrame, nodes: DataFrame, walks: DataFrame, schema: str, length: int, seed: str = "schema") -> DataFrame:
@@ -87,45 +132,59 @@ def second_order_walk(edges: DataFrame, walks: DataFrame, length: int, p: float
     ``reference``: a candidate linked with the previous node in either direction counts w / p, the
     previous node itself w, others w / q. ``published``: the previous node w / p, linked ones w,
     others w / q. With ``transitions`` (from_type, to_type, prob) weights also take the probability
-    of the edge's type after the last edge's type (walks then carry ``last``). Whether candidate and
-    previous node are linked is one left join against the distinct pairs.
+    of the edge's type after the last edge's type.
+
+    Where the previous node has few neighbours they go along with the walk, and candidates stay in
+    their lists; where it is a hub, each candidate is a row of a join with the linked pairs.
     """
-    e = edges.where("src <> dst").groupBy("src", "dst", "type").agg(F.sum("weight").alias("w"))
-    linked = edges.select(F.col("src").alias("dst"), F.col("dst").alias("prev")).union(edges.select("dst", F.col("src").alias("prev"))).distinct().withColumn("linked", F.lit(True))
-    walks = walks.withColumn("last", F.lit(None).cast("string"))
-    for step in range(1, length):
-        tips = walks.where(F.size("tokens") == step).select("walk_id", F.element_at("tokens", -1).alias("src"), F.when(F.size("tokens") > 1, F.get("tokens", F.lit(step - 2))).alias("prev"), "last")
-        cand = tips.join(e, "src").join(linked, ["dst", "prev"], "left")
-        back, near = F.col("dst") == F.col("prev"), F.coalesce("linked", F.lit(False))
+    e = cut(edges.where("src <> dst").groupBy("src", "dst", "type").agg(F.sum("weight").alias("w")), "edges")
+    linked = cut(edges.select(F.col("src").alias("dst"), F.col("dst").alias("prev")).union(edges.select("dst", F.col("src").alias("prev"))).distinct(), "linked")
+    near = _Lists(e, ["src"])
+    small = linked.groupBy("prev").agg(F.count("*").alias("c")).where(F.col("c") <= FEW).select("prev")
+    around = cut(linked.join(small, "prev").groupBy("prev").agg(F.collect_list("dst").alias("around")), "around")
+    after = None
+    if transitions is not None:
+        transitions = cut(transitions.select("from_type", "to_type", "prob"), "transitions")
+        if transitions.select("to_type").distinct().limit(TYPES + 1).count() <= TYPES:
+            after = cut(transitions.groupBy(F.col("from_type").alias("last")).agg(F.map_from_entries(F.collect_list(F.struct("to_type", "prob"))).alias("after")), "after")
+
+    def weight(w: Column, back: Column, close: Column, prob: Column | None) -> Column:
         if bias == "reference":
-            w = F.when(near, F.col("w") / p).when(back, F.col("w")).otherwise(F.col("w") / q)
+            biased = F.when(close, w / p).when(back, w).otherwise(w / q)
         else:
-            w = F.when(back, F.col("w") / p).when(near, F.col("w")).otherwise(F.col("w") / q)
-        w = F.when(F.col("prev").isNull(), F.col("w")).otherwise(w)
+            biased = F.when(back, w / p).when(close, w).otherwise(w / q)
+        biased = F.when(F.col("prev").isNull(), w).otherwise(biased)
+        return biased if prob is None else biased * F.when(F.col("last").isNull(), F.lit(1.0)).otherwise(F.coalesce(prob, F.lit(0.0)))
+
+    def rank(step: int, dst: Column, kind: Column, w: Column) -> Column:
+        return F.struct(_draw(seed, step, dst, w).alias("r"), dst.alias("dst"), kind.alias("last"))
+
+    def choose(tips: DataFrame, step: int) -> DataFrame:
+        tips = tips.join(around, "prev", "left")
+        listed = F.col("prev").isNull() | F.col("around").isNotNull() if transitions is None or after is not None else F.lit(False)
+        few = tips.where(listed) if after is None else tips.where(listed).join(after, "last", "left")
+        prob = (lambda x: F.try_element_at("after", x["type"])) if after is not None else (lambda x: None)
+        weighed = F.transform("near", lambda x: F.struct(x["dst"].alias("dst"), x["type"].alias("type"), weight(x["w"], x["dst"] == F.col("prev"), F.array_contains("around", x["dst"]), prob(x)).alias("w")))
+        best = F.array_min(F.transform(F.filter(weighed, lambda x: x["w"] > 0), lambda x: rank(step, x["dst"], x["type"], x["w"])))
+        out = near.meet(few).select("walk_id", best.alias("best"))
+        many = tips.where(~listed).drop("around").join(e, "src").join(linked.withColumn("linked", F.lit(True)), ["dst", "prev"], "left")
         if transitions is not None:
-            cand = cand.join(transitions.select(F.col("from_type").alias("last"), F.col("to_type").alias("type"), "prob"), ["last", "type"], "left")
-            w = w * F.when(F.col("last").isNull(), F.lit(1.0)).otherwise(F.coalesce("prob", F.lit(0.0)))
-        cand = cand.withColumn("w", w).where("w > 0")
-        _, race = _draw(seed, F.lit(step))
-        chosen = cand.groupBy("walk_id").agg(F.min_by(F.struct("dst", "type"), F.struct(race.alias("r"), "dst", "type")).alias("next"))
-        walks = walks.join(chosen, "walk_id", "left").select(
-            "walk_id", F.when(F.col("next").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("next.dst"))).alias("tokens"), F.coalesce("next.type", "last").alias("last")
-        )
-        if step % 3 == 0:
-            walks = cut(walks, "walks")
-    return walks
+            many = many.join(transitions.select(F.col("from_type").alias("last"), F.col("to_type").alias("type"), "prob"), ["last", "type"], "left")
+        many = many.withColumn("w", weight(F.col("w"), F.col("dst") == F.col("prev"), F.coalesce("linked", F.lit(False)), F.col("prob") if transitions is not None else None)).where("w > 0")
+        return out.union(many.select("walk_id", rank(step, F.col("dst"), F.col("type"), F.col("w")).alias("best")))
+
+    return _rounds(walks, length, choose, {"last": "string"})
 
 
 def edge_walk(edges: DataFrame, starts: DataFrame, length: int, transitions: DataFrame, seed: str = "edges") -> DataFrame:
     """walk_id, types: walks over edges (edge_id, src, dst, type, weight) from the edges ``starts`` (edge_id); the next edge begins where the last ends, by weight times transition."""
-    e = edges.select("edge_id", "src", "dst", "type", "weight")
+    e = cut(edges.select("edge_id", "src", "dst", "type", "weight"), "edges")
     walks = starts.join(e, "edge_id").select(F.col("edge_id").alias("walk_id"), F.array("type").alias("types"), F.col("dst").alias("tip"))
     for step in range(1, length):
         tips = walks.where(F.size("types") == step).select("walk_id", F.col("tip").alias("src"), F.element_at("types", -1).alias("from_type"))
         cand = tips.join(e, "src").join(transitions.withColumnRenamed("to_type", "type"), ["from_type", "type"]).withColumn("w", F.col("weight") * F.col("prob")).where("w > 0")
-        _, race = _draw(seed, F.lit(step))
-        chosen = cand.groupBy("walk_id").agg(F.min_by(F.struct("dst", "type"), F.struct(race.alias("r"), "edge_id")).alias("next"))
-        walks = walks.join(chosen, "walk_id", "left").select("walk_id", F.when(F.col("next").isNull(), F.col("types")).otherwise(F.concat("types", F.array("next.type"))).alias("types"), F.coalesce("next.dst", "tip").alias("tip"))
+        chosen = cand.groupBy("walk_id").agg(F.min_by(F.struct("dst", "type"), F.struct(_draw(seed, step, F.col("dst"), F.col("w")).alias("r"), "edge_id")).alias("next"))
+        walks = cut(walks.join(chosen, "walk_id", "left").select("walk_id", F.when(F.col("next").isNull(), F.col("types")).otherwise(F.concat("types", F.array("next.type"))).alias("types"), F.coalesce("next.dst", "tip").alias("tip")), "walks")
     return walks.select("walk_id", "types")
 
 
