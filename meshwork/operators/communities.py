@@ -112,43 +112,57 @@ def neighborhood_overlap(edges: DataFrame) -> DataFrame:
     return meet.join(closed.select(F.col("id").alias("j"), "m"), "j").groupBy("id").agg(F.sort_array(F.collect_set("m")).alias("members"))
 
 
-def _argmax_side(links: DataFrame, comm: DataFrame, degree: DataFrame, totals: DataFrame, m: DataFrame) -> DataFrame:
+#: Rows up to which a table of ids and numbers is broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _argmax_side(links: DataFrame, comm: DataFrame, degree: DataFrame, totals: DataFrame, m: float) -> DataFrame:
     """For one side: the community with the greatest score n - K * d / m, the least of equal ones.
 
     links (id, other), comm (other, c), degree (id, d), totals (c, big). Communities without a link
-    score -K * d / m, best for the least K: one candidate row for each node covers them all.
+    score -K * d / m, best for the least K: one candidate row for each node covers them all. A community's
+    total goes along with its members, so links are joined once and counted with a combine.
     """
-    n = links.join(comm, "other").groupBy("id", "c").agg(F.count("*").alias("n"))
+    named = cut(comm.join(totals, "c"), "named")
+    n = links.join(_sent(named), "other").groupBy("id", "c", "big").agg(F.count("*").alias("n"))
     low = totals.agg(F.min(F.struct("big", "c")).alias("s")).select(F.col("s.big").alias("big"), F.col("s.c").alias("c"))
-    near = n.join(degree, "id").join(totals, "c").select("id", "c", "n", "d", "big")
+    near = n.join(_sent(degree), "id").select("id", "c", "n", "d", "big")
     far = degree.join(F.broadcast(low)).select("id", "c", F.lit(0).cast("bigint").alias("n"), "d", "big")
-    scored = near.union(far).join(F.broadcast(m)).select("id", "c", (F.col("n") - F.col("big") * F.col("d") / F.col("m")).alias("s"))
-    best = scored.groupBy("id").agg(F.max("s").alias("s"))
-    return scored.join(best, ["id", "s"]).groupBy("id").agg(F.min("c").alias("c"))
+    behind = F.col("big") * F.col("d") / F.lit(m) - F.col("n")
+    best = near.union(far).select("id", F.struct(behind.alias("behind"), "c").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
+    return best.select("id", "s.c")
 
 
-def brim(pairs: DataFrame, start: DataFrame, rounds: int = 20, fixed: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Bipartite modularity over distinct pairs (doc, word) from doc communities ``start`` (doc, c): docs, words and the modularity by round.
+def brim(pairs: DataFrame, start: DataFrame | None, rounds: int = 20, fixed: bool = False, measured: bool = True) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Bipartite modularity over distinct pairs (doc, word) from doc communities ``start`` (doc, c; if not given each doc is one): docs, words and the modularity by round.
 
     A round moves all words, then all docs, to their best community; stops at a gain of at most
-    min(1 / m, 1e-5) unless ``fixed``. The modularity matrix stays implicit.
+    min(1 / m, 1e-5) unless ``fixed``. The modularity matrix stays implicit. Fixed rounds need no
+    modularity: it is left out if not ``measured``.
     """
     a = cut(pairs.select("doc", "word").distinct(), "pairs")
-    m = cut(a.agg(F.count("*").cast("double").alias("m")), "m")
-    total = m.first()[0]
     dd = cut(a.groupBy("doc").agg(F.count("*").alias("d")), "docs")
     dw = cut(a.groupBy("word").agg(F.count("*").alias("d")), "words")
+    total = float(dd.agg(F.sum("d")).first()[0] or 0)
+    start = dd.select("doc", F.col("doc").alias("c")) if start is None else start
     index = cut(start.select("c").distinct(), "index")
-    docs, words, qs = start, None, []
+    docs, words, qs = cut(start, "start"), None, []
     for _ in range(rounds):
-        k = index.join(docs.join(dd, "doc").groupBy("c").agg(F.sum("d").alias("big")), "c", "left").na.fill(0, ["big"])
-        words = cut(_argmax_side(a.select(F.col("word").alias("id"), F.col("doc").alias("other")), docs.select(F.col("doc").alias("other"), "c"), dw.withColumnRenamed("word", "id"), k, m).withColumnRenamed("id", "word"), "words")
-        k = index.join(words.join(dw, "word").groupBy("c").agg(F.sum("d").alias("big")), "c", "left").na.fill(0, ["big"])
-        docs = cut(_argmax_side(a.select(F.col("doc").alias("id"), F.col("word").alias("other")), words.select(F.col("word").alias("other"), "c"), dd.withColumnRenamed("doc", "id"), k, m).withColumnRenamed("id", "doc"), "docs")
-        inside = a.join(docs, "doc").join(words.withColumnRenamed("c", "cw"), "word").where("c = cw").count()
+        k = cut(index.join(docs.join(dd, "doc").groupBy("c").agg(F.sum("d").alias("big")), "c", "left").na.fill(0, ["big"]), "totals")
+        words = cut(_argmax_side(a.select(F.col("word").alias("id"), F.col("doc").alias("other")), docs.select(F.col("doc").alias("other"), "c"), dw.withColumnRenamed("word", "id"), k, total).withColumnRenamed("id", "word"), "words")
+        k = cut(index.join(words.join(dw, "word").groupBy("c").agg(F.sum("d").alias("big")), "c", "left").na.fill(0, ["big"]), "totals")
+        docs = cut(_argmax_side(a.select(F.col("doc").alias("id"), F.col("word").alias("other")), words.select(F.col("word").alias("other"), "c"), dd.withColumnRenamed("doc", "id"), k, total).withColumnRenamed("id", "doc"), "docs")
+        if fixed and not measured:
+            continue
+        inside = a.join(_sent(docs), "doc").join(_sent(words.withColumnRenamed("c", "cw")), "word").where("c = cw").count()
         both = docs.join(dd, "doc").groupBy("c").agg(F.sum("d").alias("x")).join(words.join(dw, "word").groupBy("c").agg(F.sum("d").alias("y")), "c")
-        q = (inside - (both.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0) / total) / total
-        if qs and not fixed and q - qs[-1] <= min(1 / total, 1e-5):
+        q = (inside - (both.agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0) / total) / total if total else 0.0
+        if qs and not fixed and q - qs[-1] <= min(1 / total if total else 0.0, 1e-5):
             qs.append(q)
             break
         qs.append(q)
