@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op6_substring_dedup": substrings.OP6_SQL,
     "op7_benchmark_decontamination": decontaminate.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op9_suffix_array_dedup": bytespans.OP9_SQL,
 }

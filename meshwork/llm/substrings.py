@@ -1,8 +1,8 @@
 """Repeated word sequences by suffix trees over groups of suffixes with a common prefix.
 
-Suffixes are the windows that :mod:`meshwork.llm.repeats` leaves in question, written in digits of
-five words. Prefixes of as many digits as needed deal them into groups of bounded size; a task
-builds the tree of its groups from the sorted suffixes and the digits that neighbours share. A node
+Suffixes are those of the stretches that :mod:`meshwork.llm.repeats` leaves in question. A prefix
+deals them into groups of bounded size, and grows to the whole window where too many share it. A task
+builds the tree of its groups from the sorted words and the words that neighbours share. A node
 as deep as a window with two leaves or more is a sequence that repeats: all but its earliest
 leaf go.
 """
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import repeats
 from meshwork.llm.common import table
-from meshwork.plans.scratch import cut, drop, release
+from meshwork.plans.scratch import cut, release
 
 SHAPE = repeats.Shape(length=20, gram=8)
-#: Suffixes of one prefix above which the prefix grows, or at full length the group is salted.
-ROOM = 200_000
+#: Contents that share an anchor above which the prefix grows to the whole window.
+ROOM = 2_000
 _CACHE = 1 << 20
 
 
@@ -49,9 +49,18 @@ def word_tokens() -> repeats.Tokens:
     return tokens
 
 
+def word_layout(body: bytes) -> repeats.Layout:
+    words = body.split()
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return b" ".join(words), np.concatenate([[0], np.cumsum(lengths + 1)]), 1
+
+
+KIND = repeats.Kind(word_tokens, word_layout, SHAPE)
+
+
 @dataclass
 class Forest:
-    """Trees of sorted suffixes: each internal node has a depth in digits and a range [low, high) of leaves."""
+    """Trees of sorted suffixes: each internal node has a depth in tokens and a range [low, high) of leaves."""
 
     order: np.ndarray
     depth: np.ndarray
@@ -59,18 +68,18 @@ class Forest:
     high: np.ndarray
 
     @classmethod
-    def grow(cls, digits: np.ndarray, ties: tuple[np.ndarray, ...]) -> Forest:
-        """Trees over the rows of ``digits``; leaves with all digits equal stand in order of ``ties``."""
-        order = np.lexsort((*reversed(ties), *digits.T[::-1]))
-        s = digits[order]
+    def grow(cls, tokens: np.ndarray, ties: tuple[np.ndarray, ...]) -> Forest:
+        """Trees over the rows of ``tokens``; leaves with all tokens equal stand in order of ``ties``."""
+        order = np.lexsort((*reversed(ties), *tokens.T[::-1]))
+        s = tokens[order]
         shared = np.cumprod(s[1:] == s[:-1], axis=1).sum(axis=1)
         depths, lows, highs = [], [], []
-        for d in range(1, digits.shape[1] + 1):
+        for d in range(1, tokens.shape[1] + 1):
             edge = np.flatnonzero(np.concatenate([[True], shared < d, [True]]))
             low, high = edge[:-1], edge[1:]
             inner = high - low >= 2
-            if d < digits.shape[1] and inner.any():
-                # A range whose leaves all share the next digit too is no node: its edge goes on.
+            if d < tokens.shape[1] and inner.any():
+                # A range whose leaves all share the next token too is no node: its edge goes on.
                 inner[inner] = _range_min(shared, low[inner], high[inner] - 1) == d
             depths.append(np.full(int(inner.sum()), d))
             lows.append(low[inner])
@@ -84,44 +93,37 @@ def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(np.concatenate([x, [np.iinfo(x.dtype).max]]), bounds)[::2]
 
 
-def later_windows(windows: DataFrame, room: int = ROOM) -> DataFrame:
-    """Of a table made by cut, which is dropped at the end: the windows (key, place) whose sequence also starts earlier."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hi, lo, key, place, salted in repeats.chunks(batches, (0, 1)):
-            tree = Forest.grow(np.stack(repeats.digits_of(hi, lo), axis=1), (key, place))
-            deep = tree.depth == 4
-            low, size = tree.low[deep], (tree.high - tree.low)[deep]
-            leaf = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
-            a, b = tree.order[np.repeat(low, size)], tree.order[leaf]
-            gone = b[(key[a] != key[b]) | (place[a] != place[b])]
-            # In a salted group the earliest leaf of each piece still has to meet those of the others.
-            rest = np.setdiff1d(np.flatnonzero(salted), gone)
-            both = np.concatenate([gone, rest])
-            if len(both):
-                flag = np.arange(len(both)) >= len(gone)
-                yield pa.RecordBatch.from_arrays([pa.array(x[both], mask=~flag) for x in (hi, lo)] + [pa.array(x[both]) for x in (key, place)] + [pa.array(flag)], names=["hi", "lo", "key", "place", "open"])
-
-    found = cut(repeats.dealt_by_prefix(windows, room).mapInArrow(run, "hi bigint, lo bigint, key bigint, place bigint, open boolean"), "leaves")
-    drop(windows)
-    release(windows.sparkSession)
-    spot = F.struct("key", "place")
-    pieces = found.where("open").distinct()
-    least = pieces.groupBy("hi", "lo").agg(F.min(spot).alias("least"))
-    late = pieces.join(least, ["hi", "lo"]).where(spot != F.col("least"))
-    return found.where("NOT open").select("key", "place").union(late.select("key", "place"))
+def later_windows(t: pa.Table) -> np.ndarray:
+    """Numbers of the windows in the stretches ``t`` whose words also stand earlier in them, from the deep nodes of their trees."""
+    row, number, prefix = repeats.windows_in(t)
+    known: dict[bytes, int] = {}
+    words = [[known.setdefault(w, len(known)) for w in x.as_py().split(b" ")] for x in t.column("body")]
+    lengths = np.array([len(w) for w in words])
+    ids = np.concatenate([np.array(w, np.int64) for w in words])
+    # a prefix with one suffix has no inner node
+    _, group, size = np.unique(prefix, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(size[group] > 1)
+    at = (np.cumsum(lengths) - lengths)[row[some]] + number[some]
+    key, place = t.column("key").to_numpy()[row[some]], t.column("place").to_numpy()[row[some]] + number[some]
+    tokens = np.column_stack([prefix[some], np.lib.stride_tricks.sliding_window_view(ids, SHAPE.length)[at]]) if len(some) else np.empty((0, SHAPE.length + 1), np.int64)
+    tree = Forest.grow(tokens, (key, place))
+    deep = tree.depth == SHAPE.length + 1
+    low, size = tree.low[deep], (tree.high - tree.low)[deep]
+    leaf = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+    later = np.ones(len(leaf), bool)
+    later[np.cumsum(size) - size] = False
+    return np.sort(some[tree.order[leaf[later]]])
 
 
 def removed_stretches(docs: DataFrame, room: int = ROOM) -> DataFrame:
     """Windows of ``docs`` (made by repeats.keyed) that also start earlier, as stretches: key, place, n."""
-    units, open_ones = repeats.candidates(docs, word_tokens, SHAPE)
+    copies, question = repeats.candidates(docs, KIND)
+    some, leaves = repeats.suffixes_of(docs, question, KIND, room)
     spot = F.struct("key", "place")
-    least = units.groupBy("anchor", "content").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).where("least <> most").drop("most")
-    least = cut(least, "least")  # a table of its own: the join is then split where a content is very common
-    copies = units.join(least, ["anchor", "content"]).where(spot != F.col("least")).select("key", "place", "n")
-    suffixes = cut(repeats.windows_of(docs, open_ones, word_tokens, SHAPE), "suffixes")
-    release(docs.sparkSession)
-    return copies.union(later_windows(suffixes, room).select("key", "place", F.lit(1).alias("n")))
+    least = cut(leaves.groupBy("d1", "d2").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).where("least <> most").drop("most"), "leaves")
+    late = leaves.join(least, ["d1", "d2"]).where(spot != F.col("least")).select("key", "place", F.lit(1).alias("n"))
+    first = copies.where("key <> k0 OR place <> p0").select("key", "place", "n")
+    return first.union(late).union(repeats.anchored(some, later_windows))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", room: int = ROOM) -> DataFrame:
@@ -130,8 +132,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
     A word goes if a window of 20 words that covers it also starts earlier: in a smaller key (null
     least), or in the same document before. Null and short texts lose nothing. Rows that share key
     and text are one document and get the same result; rows that share only the key are ordered by
-    a hash of the text.
+    a hash of the text. Keys that are no whole numbers are taken in their own order. A whole number
+    of the least value of 64 bits counts as null.
     """
+    return repeats.by_number(docs.select(key, text), key, lambda d: _without_repeats(d, key, text, room))
+
+
+def _without_repeats(docs: DataFrame, key: str, text: str, room: int) -> DataFrame:
     rows = repeats.keyed(docs, key, text)
     gone = cut(removed_stretches(rows, room), "removed")
     release(docs.sparkSession)

@@ -113,3 +113,31 @@ def test_texts_longer_than_a_stretch(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], SCHEMA)
     got = {x.doc_id: hashlib.sha256(bytes(x.kept)).hexdigest() for x in bytespans.without_repeats(df).collect()}
     assert got == {k: hashlib.sha256(v[3]).hexdigest() for k, v in bytes_kept(rows).items()}
+
+
+@pytest.mark.parametrize("room", [1, 2_000])
+def test_windows_that_differ_only_at_the_end_stay(spark, room):
+    """Some 300,000 windows with three common quarters and another last one: no digest of a quarter may tell them apart wrongly."""
+    common, r = "c" * 150, random.Random(9)
+    ends = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=50)) for _ in range(300_000 if room > 1 else 3_000)]
+    rows = [(i, common + e) for i, e in enumerate(ends)] + [(len(ends), common + ends[7])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {x.doc_id for x in bytespans.without_repeats(df, room=room).where("n_removed > 0").collect()}
+    assert got == {7, len(ends)}
+    start = " ".join(f"w{k}" for k in range(15))
+    rows = [(i, f"{start} {' '.join(e[k : k + 10] for k in range(0, 50, 10))}") for i, e in enumerate(ends[: len(ends) // 10])]
+    df = spark.createDataFrame(rows + [(10**6, rows[3][1])], "doc_id bigint, text string").repartition(8)
+    assert [x.doc_id for x in substrings.without_repeats(df, room=room).where("n_removed > 0").collect()] == [10**6]
+
+
+def test_keys_that_are_no_numbers(spark):
+    t = " ".join(f"word{k}" for k in range(60))
+    df = spark.createDataFrame([("b", t), ("a", t), (None, "x"), ("c", "y")], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()} == {"a": 0, "b": 60, None: 0, "c": 0}
+    assert {r.doc_id: r.n_removed for r in bytespans.without_repeats(df).collect()} == {"a": len(t), "b": len(t), None: 0, "c": 0}
+
+
+def test_trees_have_a_node_where_suffixes_part():
+    tokens = np.array([[0, 1, 1], [0, 1, 2], [0, 1, 2], [0, 3, 3], [4, 4, 4]])
+    tree = substrings.Forest.grow(tokens, (np.arange(5),))
+    assert sorted(zip(tree.depth.tolist(), tree.low.tolist(), tree.high.tolist(), strict=True)) == [(1, 0, 4), (2, 0, 3), (3, 1, 3)]
