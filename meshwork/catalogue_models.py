@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshwork.catalogue import query
 from meshwork.graph import PropertyGraph
-from meshwork.operators import communities, learning, spectral, vectors, walks
+from meshwork.operators import communities, learning, spectral, walks
 from meshwork.plans import kg
 from meshwork.plans.kg import read
 
@@ -33,6 +33,12 @@ def word2vec(spark, d):
     return learning.word2vec(kg.user_walks(spark, d).select(F.col("walk_id").alias("doc"), "tokens"), dim=16)
 
 
+@query()
+def sgns_trained(spark, d):
+    """Skip-gram with negative samples over all users' event types."""
+    return learning.sgns(kg.user_walks(spark, d).select(F.col("walk_id").alias("doc"), "tokens"), dim=16, epochs=5)[0]
+
+
 def _geography(spark, d):
     g = kg.both_ways(kg.geography(spark, d))
     return PropertyGraph(kg.nodes(spark, d).where("type <> 'part'"), g)
@@ -87,8 +93,7 @@ def transe_trained(spark, d):
     vec = lambda ids: ids.select("id", F.array(*(uniform(F.lit("vec"), F.col("id"), F.lit(k)) for k in range(4))).alias("vector"))
     ent = vec(t.select(F.col("head").alias("id")).union(t.select("tail")).distinct())
     rel = vec(t.select(F.col("rel").alias("id")).distinct())
-    bad = vectors.corrupt(t)
-    return learning.transe_step(bad, ent, rel)[0]
+    return learning.transe(t, ent, rel)[0]
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,7 +142,44 @@ def keep_probability(share: Column, rate: float) -> Column:
     return (F.sqrt(share / rate) + 1.0) * (F.lit(rate) / share)
 
 
+def underscored(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit("_"))
+
+
+def with_prefix(name: Column, prefix: str) -> Column:
+    return F.concat(F.lit(prefix), name)
+
+
+def without_prefix(uri: Column, prefix: str) -> Column:
+    return F.when(F.startswith(uri, F.lit(prefix)), F.substring(uri, len(prefix) + 1, 1 << 30)).otherwise(uri)
+
+
+def values_of(field: Column) -> Column:
+    """The values of a field that holds several, parted by spaces."""
+    return F.filter(F.split(field, " "), lambda x: x != "")
+
+
+def decoded_flag(flag: Column) -> tuple[Column, Column]:
+    """Whether a pair is negative, and whether it is in the test part, of negative + 2 * in_test."""
+    return flag % 2, F.floor(flag / 2).cast("int")
+
+
+def learning_rates(first: float, last: float, steps: int) -> list[float]:
+    """Rates from the first to the last in equal steps."""
+    return [first + (last - first) * k / max(1, steps - 1) for k in range(steps)]
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def normal_cdf(v: pd.Series) -> pd.Series:
     """Standard normal distribution function of each element; SQL has no error function."""
-    return v.map(lambda xs: None if xs is None else [0.5 * (1 + math.erf(float(x) / math.sqrt(2))) for x in xs])
+    sizes = [-1 if x is None else len(x) for x in v]
+    flat = np.concatenate([np.asarray(x, float) for x in v if x is not None] or [np.empty(0)])
+    done = 0.5 * (1 + _erf(flat / math.sqrt(2)))
+    out, at = [], 0
+    for n in sizes:
+        out.append(None if n < 0 else done[at : at + n])
+        at += max(n, 0)
+    return pd.Series(out)
+
+
+_erf = np.vectorize(math.erf, otypes=[float])

@@ -165,3 +165,30 @@ def commuting_matrix(steps: list[DataFrame]) -> DataFrame:
     for m in steps[1:]:
         out = matrix_product(out, m)
     return out
+
+
+def schema_matrix(metapaths: list[list[DataFrame]], laplacian: bool = False) -> DataFrame:
+    """src, dst, value: the sum of the metapaths' commuting matrices, or row sums less that matrix (zeros left out)."""
+    parts = [commuting_matrix(m).select("src", "dst", F.col("value").cast("double").alias("value")) for m in metapaths]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.union(x)
+    a = every.groupBy("src", "dst").agg(F.sum("value").alias("value"))
+    if not laplacian:
+        return a
+    d = a.groupBy("src").agg(F.sum("value").alias("value")).select("src", F.col("src").alias("dst"), "value")
+    return d.union(a.select("src", "dst", -F.col("value"))).groupBy("src", "dst").agg(F.sum("value").alias("value")).where("value <> 0")
+
+
+def hashed_metapaths(schema: list[tuple[str, str, str]], length: int, number: int, seed: str = "metapath") -> list[list[tuple[str, str, str]]]:
+    """``number`` walks of up to ``length`` steps over a schema (source type, relation, target type), chosen by MD5; a schema is small."""
+    from hashlib import md5
+
+    pick = lambda some, *key: min(some, key=lambda x: (md5("|".join(map(str, (seed, *key, *x))).encode()).hexdigest(), x))
+    out = []
+    for k in range(number if schema else 0):
+        path = [pick(schema, k, 0)]
+        while len(path) < length and (after := [x for x in schema if x[0] == path[-1][2]]):
+            path.append(pick(after, k, len(path)))
+        out.append(path)
+    return out

@@ -179,6 +179,11 @@ def cluster_quality(refs: DataFrame) -> DataFrame:
     return n.join(h, "cluster", "left").select("cluster", F.when((F.col("refs") > 1) & F.col("tokens").isNotNull(), 1 - F.col("h") / base).otherwise(F.lit(1.0)).alias("quality"))
 
 
+def mean_quality(refs: DataFrame) -> DataFrame:
+    """One row: the mean of all clusters' quality, to four places, half up."""
+    return cluster_quality(refs).agg((F.floor(F.avg("quality") * F.lit(1e4) + 0.5) / F.lit(1e4)).alias("quality"))
+
+
 def component_labels(nodes: DataFrame, components: DataFrame) -> DataFrame:
     """id, label: components (id, component) numbered by their least member, then nodes without one."""
     rep = components.groupBy("component").agg(F.min("id").alias("rep"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from meshwork.functions.scalars import dot, hashed
 from meshwork.operators import tiles
+from meshwork.plans.ranking import numbered
+from meshwork.plans.scratch import cut
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, typed: bool = False) -> DataFrame:
@@ -109,6 +111,22 @@ def corrupt(triples: DataFrame, seed: str = "corrupt") -> DataFrame:
     return out.select("head", "rel", "tail", F.coalesce("bad_head", "least").alias("bad_head"), F.coalesce("bad_tail", "least").alias("bad_tail"))
 
 
+def corrupt_any(triples: DataFrame, seed: str = "corrupt") -> DataFrame:
+    """Triples (head, rel, tail) with bad_head and bad_tail: any entity of the same relation, all equally likely, by hash.
+
+    Entities are numbered over all relations at once, so those of a relation are a range of numbers, and a
+    draw is one equi-join on the number.
+    """
+    ends = triples.select("rel", F.col("head").alias("e")).union(triples.select("rel", "tail")).distinct()
+    n = numbered(ends, [F.col("rel"), F.col("e")], "number")
+    span = cut(n.groupBy("rel").agg(F.min("number").alias("low"), F.count("*").alias("many")), "spans")
+    out = triples.select("head", "rel", "tail").join(span, "rel")
+    for side in ("head", "tail"):
+        draw = F.conv(F.substring(hashed(F.lit(seed), F.lit(side), F.col("head"), F.col("rel"), F.col("tail")), 1, 15), 16, 10).cast("bigint")
+        out = out.withColumn("number", F.col("low") + F.pmod(draw, F.col("many"))).join(n.select("number", F.col("e").alias(f"bad_{side}")), "number").drop("number")
+    return out.select("head", "rel", "tail", "bad_head", "bad_tail")
+
+
 def sage(edges: DataFrame, degrees: DataFrame, vectors: DataFrame) -> DataFrame:
     """id, vector: sum over neighbours of x_j / sqrt(d_i * d_j)."""
     d = degrees.select("id", "degree").where("degree > 0")

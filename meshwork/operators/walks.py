@@ -32,6 +32,16 @@ def start_walks(starts: DataFrame, per_node: int = 1) -> DataFrame:
     return k.select(F.concat_ws("#", "id", "k").alias("walk_id"), F.array("id").alias("tokens"))
 
 
+def degree_starts(degrees: DataFrame) -> DataFrame:
+    """As many walks from each node (id, degree) as it has neighbours, one at least."""
+    k = degrees.select("id", F.explode(F.sequence(F.lit(0), F.greatest(F.col("degree"), F.lit(1)).cast("int") - 1)).alias("k"))
+    return k.select(F.concat_ws("#", "id", "k").alias("walk_id"), F.array("id").alias("tokens"))
+
+
+def without_start(walks: DataFrame) -> DataFrame:
+    return walks.select("walk_id", F.slice("tokens", 2, 1 << 30).alias("tokens"))
+
+
 class _Lists:
     """Edges (by..., dst, ...) as lists ``near`` of about ROOM structs, dealt by a hash of dst; ``spread`` has each node's number of lists."""
 
@@ -176,6 +186,17 @@ def second_order_walk(edges: DataFrame, walks: DataFrame, length: int, p: float
     return _rounds(walks, length, choose, {"last": "string"})
 
 
+def simulate(edges: DataFrame, nodes: DataFrame, per_node: int, length: int, p: float = 1.0, q: float = 1.0, transitions: DataFrame | None = None, most_types: int = 100_000, seed: str = "n2v") -> DataFrame:
+    """walk_id, tokens: ``per_node`` biased walks from each node; walks shorter than ``length`` are dropped.
+
+    With ``transitions`` edge types bias the walk, unless there are more than ``most_types`` of them (a matrix of
+    their pairs would be too large): then the walk is plain second order.
+    """
+    if transitions is not None and transitions.select("to_type").distinct().limit(most_types + 1).count() > most_types:
+        transitions = None
+    return second_order_walk(edges, start_walks(nodes, per_node), length, p, q, transitions=transitions, seed=seed).where(F.size("tokens") >= length)
+
+
 def edge_walk(edges: DataFrame, starts: DataFrame, length: int, transitions: DataFrame, seed: str = "edges") -> DataFrame:
     """walk_id, types: walks over edges (edge_id, src, dst, type, weight) from the edges ``starts`` (edge_id); the next edge begins where the last ends, by weight times transition."""
     e = cut(edges.select("edge_id", "src", "dst", "type", "weight"), "edges")
