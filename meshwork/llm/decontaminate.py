@@ -49,12 +49,18 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     # a window with a word that the corpus lacks does not occur: the inner join leaves it too few rows
     rare = spread.join(counts, "word").groupBy("item", "words").agg(F.min(F.struct("n", "word", "at")).alias("r"), F.count("*").alias("found")).where(F.col("found") == F.size("words"))
     rare = small(rare.select(F.col("r.word").alias("word"), F.col("r.at").alias("at"), F.col("words").alias("win"), "item"))
-    each = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), words_of(body, GAPS).alias("w"))
-    each = each.select("key", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("q", "raw")).select("key", "text_hash", "w", "n_words", "q", F.lower("raw").alias("word"))
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), words_of(body, GAPS).alias("w"))
     start, length = F.col("q") - F.col("at"), F.size("win")
     fits = (start >= 0) & (start + length <= F.col("n_words"))
     same = F.translate(F.array_join(F.slice("w", F.greatest(start + 1, F.lit(1)), length), " "), _UPPER, _LOWER) == F.array_join("win", " ")
-    return each.join(rare, "word").where(fits & same).select("key", "text_hash", "n_words", (start + 1).alias("start"), length.alias("len"), "item")
+    # only where nothing is shuffled by word do the words of the text go along with each of them
+    wide = ["w"] if few else []
+    each = own.select("key", "text_hash", *wide, F.size("w").alias("n_words"), F.posexplode("w").alias("q", "raw")).select("key", "text_hash", *wide, "n_words", "q", F.lower("raw").alias("word"))
+    found = each.join(rare, "word").where(fits)
+    if not few:
+        places = found.select(F.col("key").alias("k1"), F.col("text_hash").alias("h1"), "n_words", "q", "at", "win", "item").distinct()
+        found = own.join(places, F.col("key").eqNullSafe(F.col("k1")) & (F.col("text_hash") == F.col("h1")))
+    return found.where(same).select("key", "text_hash", "n_words", (start + 1).alias("start"), length.alias("len"), "item")
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.llm.common import table
@@ -23,9 +24,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 6
 PAD = 256
-#: Bound on the labelled rows that training takes, and the characters of each.
-SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 512
+#: Bound on the labelled rows that training takes, shared equally by the languages (LEAST_ROWS each at least).
+SAMPLE_ROWS, LEAST_ROWS = 3000, 50
+#: Stretches of each such text, at hashed places over all of it, and their characters: training sees windows, never whole texts at once.
+PIECES, PIECE_CHARS = 4, 512
 _LETTER = re.compile(r"[^\W\d_]")
 _K = max(WIDTHS)
 
@@ -130,18 +132,28 @@ def held_out(key: str = "doc_id"):
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most ``rows`` labelled texts not held out, the least by a hash of the key; a stretch of each at a hashed place."""
-    seed = F.xxhash64(F.lit("langid"), F.col(f"`{key}`").cast("string"))
-    body = F.col(f"`{text}`")
-    room = F.greatest(F.length(body) - SAMPLE_CHARS + 1, F.lit(1))
-    got = (
-        docs.where(body.isNotNull() & F.col(f"`{lang}`").isNotNull() & ~held_out(key))
-        .select(seed.alias("h"), F.substring(body, (F.pmod(seed, room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), F.col(f"`{lang}`").alias("l"))
-        .orderBy("h", "t", "l")
-        .limit(rows)
-        .collect()
-    )
-    return [r.t for r in got], [r.l for r in got]
+    """Stretches of labelled texts not held out, and their languages: at most ``rows`` texts in all, equally many of each language.
+
+    Languages are counted first. A text is taken if a hash of key and text falls under a threshold that
+    leaves about half as many again as wanted, of which those with the least hashes stay: few rows are ever
+    sorted or sent, and a rare language is learned from all it has. Repeated rows share a hash.
+    """
+    body, name = F.col(f"`{text}`"), F.col(f"`{lang}`")
+    known = docs.where(body.isNotNull() & name.isNotNull() & ~held_out(key))
+    counts = {r["l"]: r["n"] for r in known.groupBy(name.alias("l")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return [], []
+    each = max(LEAST_ROWS, rows // len(counts))
+    share = F.try_element_at(F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, min(1.0, (1.5 * each + 20) / c)))), F.col("l"))
+    seed = F.xxhash64(F.lit("langid"), F.col(f"`{key}`").cast("string"), body)
+    some = known.select(name.alias("l"), seed.alias("h"), body.alias("t")).where(F.pmod(F.col("h"), F.lit(1 << 32)) < share * float(1 << 32))
+    room = F.greatest(F.length("t") - PIECE_CHARS + 1, F.lit(1))
+    places = F.sequence(F.lit(0), F.least(F.floor(F.length("t") / PIECE_CHARS), F.lit(PIECES - 1)))
+    cut_out = F.transform(places, lambda k: F.substring(F.col("t"), (F.pmod(F.xxhash64("h", k), room) + 1).cast("int"), F.lit(PIECE_CHARS)))
+    some = some.select("l", "h", cut_out.alias("pieces"))
+    best = some.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", "pieces"))).where(F.col("r") <= each)
+    got = sorted((r.l, r.h, p) for r in best.collect() for p in r.pieces)
+    return [p for _, _, p in got], [x for x, _, _ in got]
 
 
 def classify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,9 +22,10 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 20_000
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the MD5 of seed and key; null keys share one."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def uniform(key: Column, seed: str = SEED, instead: Column | None = None) -> Column:
+    """A number in [0, 1) from the MD5 of seed and key; null keys share one, or have one of their own by ``instead``."""
+    none = F.lit("null") if instead is None else F.concat(F.lit("null:"), F.md5(F.coalesce(instead.cast("binary"), F.lit(b""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), none)))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
@@ -51,9 +52,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return stepped.select("source", "source_size", F.least(F.col("most").cast("double"), first * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, null_keys_by_text: bool = False) -> DataFrame:
     """``docs`` plus a struct column (last) with size, source_size, target and copies.
 
+    Rows that share a key are taken alike, as one document. Null keys share one draw, or one by text if
+    ``null_keys_by_text``, so that many of them still come near their source's target.
     Null text has size 0, a null source is a source of its own, empty sources have target 0. The
     per-source sums are combined before the shuffle, so a hot source costs one row a task; the join
     back is a broadcast if the counted sources are few, else a shuffle join that adaptive execution
@@ -71,13 +74,13 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     joined = docs.select(*own, size.alias(s)).join(rates, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__m_source")), "left")
     rate = F.when(F.col("__m_size") > 0, F.col("__m_target") / F.col("__m_size").cast("double")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = (whole + F.when(uniform(F.col(f"`{key}`"), seed) < rate - whole, 1).otherwise(0)).cast("int")
+    copies = (whole + F.when(uniform(F.col(f"`{key}`"), seed, F.col(f"`{text}`") if null_keys_by_text else None) < rate - whole, 1).otherwise(0)).cast("int")
     return joined.select(*own, F.struct(F.col(s).alias("size"), F.col("__m_size").alias("source_size"), F.col("__m_target").alias("target"), copies.alias("copies")).alias(out))
 
 
-def emit(docs: DataFrame, **names: str) -> DataFrame:
+def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's rows as often as it is taken, with ``copy`` counting from 0 as the last column."""
-    m = mixed(docs, **names)
+    m = mixed(docs, **options)
     out, copy = m.columns[-1], fresh(m.columns, "copy")
     n = F.col(out)["copies"]
     # most are taken not at all, once or twice; the filter comes before the rows are repeated

@@ -1,10 +1,11 @@
-"""Groups of documents whose sets of word shingles have a Jaccard similarity of at least 4/5: all pairs, by prefixes.
-
-Two sets of that similarity share at least four fifths of the shingles of the larger, so in any order
-of all shingles the first fifths of both have one in common. Shingles that are frequent in a sample
-stand last in the order, so that passages found everywhere bring no pairs. Pairs with a shingle of
-their first fifths in common are candidates; each is decided by its whole sets. Pairs inside a
-component need no decision: rounds with one candidate a document join crowds before all that is left is compared.
+"""Groups of documents whose sets of word shingles have a Jaccard similarity of at least 4/5: all pairs.
+
+Candidates come from two sides. SimHash links (:mod:`meshwork.llm.simhash`: fingerprints within four bits,
+met at anchor points) find the closest copies cheaply. For the rest: two sets of that similarity share at
+least four fifths of the shingles of the larger, so in any order of all shingles the first fifths of both
+have one in common. Shingles that are frequent in a sample stand last in the order, so that passages found
+everywhere bring no pairs. Each candidate is decided by the whole sets. Pairs inside a component need no
+decision: rounds with one candidate a document join crowds before all that is left is compared.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshwork.llm import simhash
 from meshwork.llm.common import fresh, utf8
 from meshwork.llm.simhash import SEED
 from meshwork.operators.components import star_components
@@ -26,6 +28,10 @@ from meshwork.plans.scratch import cut, drop, release
 SAMPLE, FREQUENT = 20_000, 10
 #: Rounds of one candidate a document at most, and candidates a document at which no more are needed.
 ROUNDS, FEW = 4, 2
+#: Parts of the shingles' hashes that candidates are compared by, one after the other: each shuffles only so much of the sets.
+SLICES = 4
+#: Pairs up to which one join compares all slices.
+SMALL = 10_000
 _LAST = (1 << 63) - 1
 
 
@@ -48,8 +54,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays or [np.empty(0, np.uint64)]).view(np.int64)))
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """sid, tokens for rows (text bytes)."""
+def _sets(texts: DataFrame, size: int, slices: int = 1) -> DataFrame:
+    """sid, slice, tokens for rows (text bytes): a row for each slice of the hashes, empty ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -58,9 +64,11 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
             for i in range(0, b.num_rows, 1000):
                 s = [shingles(t.as_py(), size) for t in b.column(0)[i : i + 1000]]
                 sid = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in s], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sid), _lists(s)], names=["sid", "tokens"])
+                for k in range(slices):
+                    part = [x[x % np.uint64(slices) == k] for x in s] if slices > 1 else s
+                    yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.full(len(sid), k, np.int32)), _lists(part)], names=["sid", "slice", "tokens"])
 
-    return texts.mapInArrow(run, "sid bigint, tokens array<bigint>")
+    return texts.mapInArrow(run, "sid bigint, slice int, tokens array<bigint>")
 
 
 def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +83,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heads(docs: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k, m, sid, n (tokens), head (the first fifth and one; empty where the task had the set before) for rows (k, m, text bytes)."""
+    """k, m, sid, fp (the set's SimHash), n (tokens), head (the first fifth and one; empty where the task had the set before) for rows (k, m, text bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -83,7 +91,7 @@ def _heads(docs: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray])
         tokens, counts = frequent
         seen: set[int] = set()
         for b in batches:
-            sid, n, heads = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int64), []
+            sid, fp, n, heads = np.empty(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.empty(b.num_rows, np.int64), []
             for i, text in enumerate(b.column(2)):
                 s = shingles(text.as_py(), size)
                 sid[i], n[i] = xxh64_intdigest(s.tobytes(), SEED), len(s)
@@ -91,13 +99,14 @@ def _heads(docs: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray])
                     heads.append(s[:0])
                     continue
                 seen.add(int(sid[i]))
+                fp[i] = simhash.of_hashes(s)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
                 heads.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1].copy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid.view(np.int64)), pa.array(n), _lists(heads)], names=["k", "m", "sid", "n", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n), _lists(heads)], names=["k", "m", "sid", "fp", "n", "head"])
 
-    return docs.mapInArrow(run, "k bigint, m bigint, sid bigint, n bigint, head array<bigint>")
+    return docs.mapInArrow(run, "k bigint, m bigint, sid bigint, fp bigint, n bigint, head array<bigint>")
 
 
 def _close(a: str, b: str):
@@ -105,15 +114,34 @@ def _close(a: str, b: str):
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least 4/5."""
-    x = sets.select(F.col("sid").alias("u"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("sid").alias("v"), F.col("tokens").alias("y"))
-    both = pairs.join(x, "u").join(y, "v")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v")
+    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least 4/5, counted slice by slice."""
+    parts = []
+    # a few pairs are compared by all slices at once: the same rows in fewer jobs
+    for some in [list(range(SLICES))] if pairs.limit(SMALL + 1).count() <= SMALL else [[k] for k in range(SLICES)]:
+        of = sets.where(F.col("slice").isin(some))
+        x = of.select(F.col("sid").alias("u"), "slice", F.col("tokens").alias("x"))
+        y = of.select(F.col("sid").alias("v"), "slice", F.col("tokens").alias("y"))
+        both = pairs.join(x, "u").join(y, ["v", "slice"])
+        parts.append(cut(both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all")), "common"))
+        release(pairs.sparkSession)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    return every.groupBy("u", "v").agg(F.sum("common").alias("common"), F.sum("all").alias("all")).where(9 * F.col("common") >= 4 * F.col("all")).select("u", "v")
+
+
+def _simhash_pairs(heads: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints are equal or linked within four bits: enough of them to join each such component."""
+    own = cut(heads.where(F.size("head") > 0).select("sid", "fp").distinct(), "own")
+    least = cut(own.groupBy("fp").agg(F.min("sid").alias("least")), "least")
+    same = own.join(least, "fp").where("sid <> least").select(F.col("least").alias("u"), F.col("sid").alias("v"))
+    far = simhash.links(least).withColumnRenamed("u", "fu").withColumnRenamed("v", "fv")
+    far = far.join(least.select(F.col("fp").alias("fu"), F.col("least").alias("a")), "fu").join(least.select(F.col("fp").alias("fv"), F.col("least").alias("b")), "fv")
+    return same.union(far.select("a", "b")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """sid, component for the sets with a similar other one. ``heads`` is (k, m, sid, n, head), ``texts`` (k, m, text bytes)."""
+    """sid, component for the sets with a similar other one. ``heads`` is (k, m, sid, fp, n, head), ``texts`` (k, m, text bytes)."""
     spark = heads.sparkSession
     # tokens of one set alone bring no pairs; dealt once, what remains is small
     same = W.partitionBy("token")
@@ -122,20 +150,25 @@ def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     release(spark)
     postings = cut(dealt.distinct(), "postings")
     drop(dealt)
-    met = postings.select("sid").distinct()
+    close = cut(_simhash_pairs(heads), "close")
+    met = cut(postings.select("sid").union(close.select("u")).union(close.select("v")).distinct(), "met")
     # one row of the input for each set that meets another
     owners = heads.join(met, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "m")).alias("id")).select("id.k", "id.m")
-    sets = cut(_sets(texts.join(owners, ["k", "m"], "left_semi").dropDuplicates(["k", "m"]).select("text"), size), "sets")
+    sets = cut(_sets(texts.join(owners, ["k", "m"], "left_semi").dropDuplicates(["k", "m"]).select("text"), size, SLICES), "sets")
     release(spark)
-    n_sets = sets.count()
-    links = spark.createDataFrame([], "u bigint, v bigint")
-    tried = links
-    label = postings.select("sid", F.col("sid").alias("component")).distinct()
+    n_sets = met.count()
+
+    def named(links: DataFrame) -> DataFrame:
+        joined = cut(star_components(links, "u", "v").select(F.col("id").cast("bigint").alias("sid"), F.col("component").cast("bigint").alias("joined")), "joined")
+        return cut(met.join(joined, "sid", "left").select("sid", F.coalesce("joined", "sid").alias("component")), "label")
+
+    tried, links = close, cut(_similar(close, sets), "similar")
+    label = named(links)
     for r in range(ROUNDS + 1):
         # postings of tokens that more than one component has
-        named = postings.join(label, "sid")
-        open_ = named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-        left = cut(named.join(open_, "token"), "open")
+        spread = postings.join(label, "sid")
+        open_ = spread.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
+        left = cut(spread.join(open_, "token"), "open")
         per = left.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
         cross = per.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("x")).agg(F.sum("x")).first()[0] or 0.0
         if not cross:
@@ -148,20 +181,20 @@ def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         else:
             # each token names one leader a round; a document tries the leader it shares most tokens with
             lead = left.groupBy("token").agg(F.min_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(r))).alias("lead"))
-            met = left.join(lead, "token").select("sid", "n", "component", F.col("lead.sid").alias("v"), F.col("lead.n").alias("nv"), F.col("lead.component").alias("cv"))
-            met = met.where((F.col("component") != F.col("cv")) & _close("n", "nv")).groupBy(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v"), "sid").agg(F.count("*").alias("c"))
-            met = met.join(tried, ["u", "v"], "left_anti")
-            pairs = met.groupBy("sid").agg(F.max_by(F.struct("u", "v"), F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+            asked = left.join(lead, "token").select("sid", "n", "component", F.col("lead.sid").alias("v"), F.col("lead.n").alias("nv"), F.col("lead.component").alias("cv"))
+            asked = asked.where((F.col("component") != F.col("cv")) & _close("n", "nv")).groupBy(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v"), "sid").agg(F.count("*").alias("c"))
+            asked = asked.join(tried, ["u", "v"], "left_anti")
+            pairs = asked.groupBy("sid").agg(F.max_by(F.struct("u", "v"), F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
         pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if last and not pairs.limit(1).count():
+            break
         tried = tried.unionByName(pairs)
         links = links.unionByName(cut(_similar(pairs, sets), "similar"))
-        joined = cut(star_components(links, "u", "v").select(F.col("id").cast("bigint").alias("sid"), F.col("component").cast("bigint").alias("joined")), "joined")
-        label = postings.select("sid").distinct().join(joined, "sid", "left").select("sid", F.coalesce("joined", "sid").alias("component"))
+        label = named(links)
         drop(left)
         release(spark)
         if last:
             break
-    label = cut(label, "label")
     for t in (postings, sets):
         drop(t)
     return label

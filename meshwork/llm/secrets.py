@@ -41,6 +41,10 @@ _UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 #: Lengths in hex digits of the usual digests (MD5, SHA-1, SHA-2).
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _HEX_ONLY = re.compile(r"(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)")
+#: Integrity digests as web pages and lock files write them, ULIDs, and numbers in a row (times, versions, counters).
+_INTEGRITY = re.compile(r"(?<![A-Za-z0-9])(?:md5|sha1|sha256|sha384|sha512)-[A-Za-z0-9+/]{22,86}={0,2}")
+_ULID = re.compile(r"[0-7][0-9A-HJKMNP-TV-Z]{25}")
+_NUMBERS = re.compile(r"(?:v?[0-9]{1,8}(?:T[0-9]{1,6})?[A-Za-z]{0,2}|[A-Za-z])(?:[-_/=+]+(?:v?[0-9]{1,8}(?:T[0-9]{1,6})?[A-Za-z]{0,2}|[A-Za-z]))+[-_/=+]*")
 
 
 @lru_cache(maxsize=2)
@@ -53,7 +57,7 @@ def _encoding(ranks: bytes, split: str):
 
 def known_identifier(run: str) -> bool:
     """Digests and identifiers that look random but are no secrets."""
-    if _UUID.fullmatch(run):
+    if _UUID.fullmatch(run) or _INTEGRITY.fullmatch(run) or _ULID.fullmatch(run) or _NUMBERS.fullmatch(run):
         return True
     return bool(_HEX_ONLY.fullmatch(run)) and len(run.removeprefix("0x")) in _DIGESTS
 
@@ -118,22 +122,44 @@ def _stretches(run: str, ranks: bytes, split: str, max_ratio: float) -> list[tup
     return out
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_spans(text: str, ranks: bytes, split: str, max_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs outside ``taken``, or stretches of them, whose characters per token are at most ``max_ratio``."""
+    """Runs outside ``taken`` (sorted), or stretches of them, whose characters per token are at most ``max_ratio``.
+
+    What ``taken`` and integrity digests cover is cut out of a run and the rest is judged: a run that overlaps a fixed
+    pattern is not left out whole. Runs and cuts are walked through side by side, once.
+    """
     code, found = None, []
+    gone, k = _disjoint([(s, e) for s, _, e in taken]), 0
 
     def is_random(run: str) -> bool:
         return len(run) >= MIN_RUN and _mixed(run) and not known_identifier(run) and len(run) <= max_ratio * len(code.encode_ordinary(run))
 
     for m in _RUN.finditer(text):
+        while k < len(gone) and gone[k][1] <= m.start():
+            k += 1
         if not _mixed(m[0]):
             continue
         code = code or _encoding(ranks, split)
-        at, parts = m.start(), []
-        for s, _, e in taken:
-            if s < m.end() and at < e:
-                parts.append((at, s))
-                at = max(at, e)
+        at, parts, cuts, j = m.start(), [], [], k
+        while j < len(gone) and gone[j][0] < m.end():
+            cuts.append(gone[j])
+            j += 1
+        if "-" in m[0]:
+            cuts = _disjoint(sorted(cuts + [(m.start() + x.start(), m.start() + x.end()) for x in _INTEGRITY.finditer(m[0])]))
+        for s, e in cuts:
+            parts.append((at, s))
+            at = max(at, e)
         for s, e in [*parts, (at, m.end())]:
             part = text[s:e]
             if e - s < MIN_RUN or not _mixed(part) or known_identifier(part):
@@ -158,7 +184,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     """One row per document: key, counts by kind, digest of the base spans, all spans.
 
     Null text is empty and has no spans. Offsets are code points, the end exclusive. Rows are
-    handled one by one where they lie; nothing is shuffled. The vocabulary (under 1 MB) is read on
+    handled one by one where they lie, repeated ones alike; nothing is shuffled. The vocabulary (under 1 MB) is read on
     the driver and sent with the function.
     """
     ranks = _ranks(vocabulary)

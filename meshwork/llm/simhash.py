@@ -49,6 +49,11 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
     cuts = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
     h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in cuts], np.uint64)
+    return of_hashes(h)
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: a bit is 1 if it is in over half of them; 0 for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -120,21 +125,34 @@ def forest(a: np.ndarray, others: np.ndarray, max_bits: int) -> list[tuple[int,
     """Links between ``a`` and ``others`` within ``max_bits`` that join what the earlier ones do not."""
     out: list[tuple[int, int]] = []
     nodes = label = None
+
+    def top(k: np.ndarray) -> np.ndarray:
+        up = label[k]
+        while (label[up] != up).any():
+            up = label[up]
+        label[k] = up
+        return up
+
     for i in range(0, len(a), 256):
         for j in range(0, len(others), _TILE):
             x, y = a[i : i + 256], others[j : j + _TILE]
             apart = np.bitwise_count(x[:, None] ^ y[None])
             near = (apart <= max_bits) & (apart > 0)
-            for r in np.flatnonzero(near.any(axis=1)):
-                if nodes is None:
-                    nodes = np.unique(np.concatenate([a, others]))
-                    label = np.arange(len(nodes))
-                met = y[near[r]]
-                own, (theirs, where) = label[np.searchsorted(nodes, x[r])], np.unique(label[np.searchsorted(nodes, met)], return_index=True)
-                for t, w in zip(theirs.tolist(), where.tolist(), strict=True):
-                    if t != own:
-                        out.append((int(x[r]), int(met[w])))
-                        label[label == t] = own
+            rows = np.flatnonzero(near.any(axis=1))
+            if not len(rows):
+                continue
+            if nodes is None:
+                nodes = np.unique(np.concatenate([a, others]))
+                label = np.arange(len(nodes))
+            own, theirs = np.searchsorted(nodes, x), np.searchsorted(nodes, y)
+            for r in rows:
+                met = np.flatnonzero(near[r])
+                tops, where = np.unique(top(theirs[met]), return_index=True)
+                mine = int(top(own[r : r + 1])[0])
+                for t, w in zip(tops.tolist(), where.tolist(), strict=True):
+                    if t != mine:
+                        out.append((int(x[r]), int(y[met[w]])))
+                        label[t] = mine
     return out
 
 
@@ -220,8 +238,9 @@ def _components_of(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
     prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     joined = star_components(links(prints, max_bits), "u", "v")
     nodes = cut(prints.join(joined, prints.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes")
-    roots = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = nodes.join(roots, "component").select("fp", "component", "component_id")
+    # tables of their own, so that adaptive execution can split a giant component, or the rows of a common fingerprint
+    roots = cut(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "roots")
+    names = cut(nodes.join(roots, "component").select("fp", "component", "component_id"), "names")
     return rows.join(names, "fp").select(F.col("key").alias("id"), "fp", "component", "component_id")
 
 

@@ -182,3 +182,64 @@ def test_decontamination_matches_a_plain_search(spark, monkeypatch, few):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, t, _ in docs if not hit_words(t, items)[4])
     assert decontaminate.report(clash(spark, docs), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.report(clash(spark, []).limit(0), bench).count() == 0
+
+
+def test_a_rare_language_is_learned_and_the_sample_is_bounded(spark):
+    r = random.Random(3)
+    common = [(i, " ".join(r.choices(["the", "and", "of", "house", "river", "with"], k=60)), "en") for i in range(4000)]
+    rare = [(5000 + i, " ".join(r.choices(["ez", "da", "eta", "bat", "zuen", "ditu", "kxo"], k=400)), "eu") for i in range(25)]
+    docs = spark.createDataFrame(common + rare + [(9000, None, "en"), (9001, "x", None)], "doc_id bigint, text string, lang string").repartition(4)
+    texts, langs = langid.sample(docs, rows=400)
+    assert langs.count("eu") >= 25 and 150 <= langs.count("en") <= 200 and max(map(len, texts)) <= langid.PIECE_CHARS
+    got = langid.classify(docs, langid.train(texts, langs, steps=300)).where("held_out").collect()
+    assert all(x.lang_pred == ("eu" if x.doc_id >= 5000 else "en") for x in got if x.doc_id < 9000)
+
+
+def forward(net, text):
+    """The network's verdict by plain loops over windows and places."""
+    import numpy as np
+
+    raw, total, size = text.encode(), 0, 0
+    for at in range(0, max(1, len(raw)), langid.WINDOW):
+        part = raw[at : at + langid.WINDOW]
+        ids = list(part) + [langid.PAD] * (langid.WINDOW + 3 - len(part))
+        best = np.full(net.conv.shape[1], -np.inf)
+        for k in range(langid.WINDOW):
+            best = np.maximum(best, np.concatenate([net.emb[i] for i in ids[k : k + 4]]) @ net.conv)
+        total = total + max(1, len(part)) * (np.maximum(best + net.bias, 0) @ net.out + net.out_bias)
+        size += max(1, len(part))
+    e = np.exp(total / size - (total / size).max())
+    return net.langs[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_language_matches_a_plain_forward_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = langid.train(*langid.sample(docs), steps=200)
+    some = [tuple(r) for r in docs.where("text IS NOT NULL").select("doc_id", "text").orderBy("doc_id").collect()]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(docs, net).collect()}
+    for i, t in sorted(some, key=lambda r: len(r[1]))[:60:3]:
+        if langid._LETTER.search(t):
+            lang, score = forward(net, t)
+            assert got[i][0] == lang and abs(got[i][1] - score) < 1e-3
+
+
+def test_decontamination_by_shuffle_moves_places_not_texts(spark, monkeypatch):
+    r = random.Random(6)
+    vocab = [f"v{k}" for k in range(400)]
+    items = [(k, " ".join(r.choices(vocab, k=14))) for k in range(8)]
+    docs = [(k, " ".join(r.choices(vocab, k=4000)) + (" " + items[k][1] if k < 5 else "")) for k in range(10)] + [(None, items[0][1]), (11, None), (5, "again " + items[7][1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id int, text string")
+    small = sorted(map(str, decontaminate.report(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, decontaminate.report(d, b).collect())) == small
+    got = decontaminate.report(d, b).where("contaminated").select("doc_id").collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(["0", "1", "2", "3", "4", "5", "None"])
+
+
+def test_null_keys_come_near_the_target_by_text(spark):
+    rows = [(None, f"text number {k} of many words", "a") for k in range(2000)] + [(k, "a b c d e f", "b") for k in range(500)]
+    m = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), null_keys_by_text=True)
+    x = m.columns[-1]
+    got = m.where("source = 'a'").select(F.sum(F.col(x)["size"] * F.col(x)["copies"]).alias("taken"), F.max(F.col(x)["target"]).alias("target")).first()
+    assert abs(got.taken - got.target) < 0.1 * got.target
