@@ -22,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by sets of five-word shingles of Jaccard similarity 0.8 or more.
 
-    Near copies lie further apart than the four bits of SimHash that op10 links, so pairs are found by the shingles themselves.
+    SimHash links at four bits give the first candidates; near copies that lie further apart than that are
+    found by their rarest shingles. Whole sets decide.
     """
     return nearcopies.one_of_each(docs, size=5)
 
@@ -40,7 +41,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their source's rate; ``copy`` counts a document's copies from 0."""
-    return mixing.emit(docs)
+    return mixing.emit(docs, null_keys_by_text=True)
 
 
 STAGES = [
