@@ -44,7 +44,7 @@ _HEX_ONLY = re.compile(r"(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)")
 #: Integrity digests as web pages and lock files write them, ULIDs, and numbers in a row (times, versions, counters).
 _INTEGRITY = re.compile(r"(?<![A-Za-z0-9])(?:md5|sha1|sha256|sha384|sha512)-[A-Za-z0-9+/]{22,86}={0,2}")
 _ULID = re.compile(r"[0-7][0-9A-HJKMNP-TV-Z]{25}")
-_NUMBERS = re.compile(r"(?:v?[0-9]{1,8}(?:T[0-9]{1,6})?[A-Za-z]{0,2}|[A-Za-z])(?:[-_/=+]+(?:v?[0-9]{1,8}(?:T[0-9]{1,6})?[A-Za-z]{0,2}|[A-Za-z]))+[-_/=+]*")
+_NUMBERS = re.compile(r"(?:v?[0-9]{1,8}(?:T[0-9]{1,6})?[A-Za-z]{0,2}|[A-Za-z]{1,3})(?:[-_/=+]+(?:v?[0-9]{1,8}(?:T[0-9]{1,6})?[A-Za-z]{0,2}|[A-Za-z]{1,3}))+[-_/=+]*")
 
 
 @lru_cache(maxsize=2)
