@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.functions import scalars as fn
@@ -15,6 +14,7 @@ from meshwork.operators import centrality, communities, corpus, etl, hierarchy,
 from meshwork.operators.components import star_components
 from meshwork.plans import kg
 from meshwork.plans.kg import read
+from meshwork.plans.ranking import numbered
 from meshwork.plans.scratch import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,7 +117,7 @@ def neighbor_weights(spark, d):
 
 @query("SELECT coalesce(sum(weight), 0.0) AS weight FROM kg_edges WHERE src = 'C1' AND dst = 'N3'")
 def edge_weight(spark, d):
-    return kg.edges(spark, d).where("src = 'C1' AND dst = 'N3'").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+    return graph(spark, d).edge_weight("C1", "N3")
 
 
 def _laplacian(kind, diag, off):
@@ -247,13 +247,13 @@ def anti_links(spark, d):
 @query("WITH a AS (SELECT id FROM kg_nodes WHERE type = 'nation'), b AS (SELECT id FROM kg_nodes WHERE type = 'region') SELECT a.id AS a, b.id AS b FROM a, b WHERE (a.id, b.id) NOT IN (SELECT src, dst FROM geo)")
 def unseen_pairs(spark, d):
     n = kg.nodes(spark, d)
-    pairs = n.where("type = 'nation'").select(F.col("id").alias("a")).crossJoin(n.where("type = 'region'").select(F.col("id").alias("b")))
-    return pairs.join(kg.geography(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    known = kg.geography(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return etl.unseen_pairs(n.where("type = 'nation'").select(F.col("id").alias("a")), n.where("type = 'region'").select(F.col("id").alias("b")), known)
 
 
 @query("SELECT n_name AS a, r_name AS b FROM nation, region")
 def all_pairs(spark, d):
-    return read(spark, d, "nation").select(F.col("n_name").alias("a")).crossJoin(read(spark, d, "region").select(F.col("r_name").alias("b")))
+    return etl.all_pairs(read(spark, d, "nation").select(F.col("n_name").alias("a")), read(spark, d, "region").select(F.col("r_name").alias("b")))
 
 
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F'")
@@ -264,8 +264,7 @@ def link_intersection(spark, d):
 
 @query("SELECT DISTINCT CASE WHEN type = 'in_region' THEN dst ELSE src END AS head, CASE WHEN type = 'in_region' THEN src ELSE dst END AS tail FROM geo")
 def orient_relations(spark, d):
-    swap = F.col("type") == "in_region"
-    return kg.geography(spark, d).select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("head"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("tail")).distinct()
+    return etl.orient(kg.geography(spark, d).select(F.col("src").alias("head"), F.col("type").alias("rel"), F.col("dst").alias("tail")), ["in_region"])
 
 
 @query("SELECT src AS a, dst AS b, 1 AS label FROM supplies WHERE weight > 1 UNION ALL SELECT src, dst, 0 FROM buys WHERE weight > 1")
@@ -275,12 +274,12 @@ def labelled_union(spark, d):
 
 @query("SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) >= 10 * sqrt(10)")
 def support_filter(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n")).where("n >= 10 * sqrt(10)")
+    return etl.supported(read(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], 10)
 
 
 @query("WITH v AS (SELECT p_partkey AS item, p_size AS s FROM part), c AS (SELECT item, sum(s) OVER (ORDER BY item) AS hi, sum(s) OVER (ORDER BY item) - s AS lo FROM v), t AS (SELECT max(hi) AS top FROM c), u AS (SELECT c_custkey AS id, ('0x' || substr(md5('draw|' || c_custkey), 1, 8))::BIGINT / 4294967296.0 * top AS u FROM customer, t) SELECT id, item FROM u JOIN c ON u > lo AND u <= hi")
 def inverse_cdf(spark, d):
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.sum("p_size").over(W.orderBy("p_partkey")).cast("double").alias("cumulative"))
+    p = numbered(read(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_size"), [F.col("item")], "at", {"cumulative": F.col("p_size")}).select("item", F.col("cumulative").cast("double").alias("cumulative"))
     top = p.agg(F.max("cumulative").alias("top"))
     u = read(spark, d, "customer").join(F.broadcast(top)).select(F.col("c_custkey").alias("id"), (fn.uniform(F.lit("draw"), F.col("c_custkey")) * F.col("top")).alias("u"))
     return corpus.inverse_cdf(u, p)

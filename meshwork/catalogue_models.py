@@ -9,6 +9,7 @@ from meshwork.graph import PropertyGraph
 from meshwork.operators import communities, learning, spectral, walks
 from meshwork.plans import kg
 from meshwork.plans.kg import read
+from meshwork.plans.scratch import cut
 
 
 def _labelled(spark, d):
@@ -53,21 +54,29 @@ def gcn_trained(spark, d):
     return learning.train_gcn(g, x, y.where(F.crc32(F.col("id").cast("binary")) % 5 != 0), 3, rounds=2, steps=20)
 
 
+def _label_graph(spark, d):
+    """The labels of the whole graph, linked both ways by the weight of all edges between their nodes: one connected part."""
+    lab = kg.nodes(spark, d).select("id", "label")
+    e = kg.edges(spark, d).join(lab.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(lab.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    e = e.where("a <> b").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")).select("src", "dst", F.lit("between").alias("type"), "weight")
+    return PropertyGraph(lab.select(F.col("label").alias("id"), F.lit("label").alias("type"), "label").distinct(), cut(kg.both_ways(e), "labels"))
+
+
 @query()
 def fiedler(spark, d):
-    g = PropertyGraph(kg.nodes(spark, d).where("type IN ('nation', 'region')"), kg.both_ways(kg.geography(spark, d).where("type = 'in_region'")))
+    g = _label_graph(spark, d)
     return spectral.fiedler(g)
 
 
 @query()
 def spectral_embedding(spark, d):
-    g = PropertyGraph(kg.nodes(spark, d).where("type IN ('nation', 'region')"), kg.both_ways(kg.geography(spark, d).where("type = 'in_region'")))
+    g = _label_graph(spark, d)
     return spectral.smallest(g, 4)
 
 
 @query()
 def spectral_clusters(spark, d):
-    g = PropertyGraph(kg.nodes(spark, d).where("type IN ('nation', 'region')"), kg.both_ways(kg.geography(spark, d).where("type = 'in_region'")))
+    g = _label_graph(spark, d)
     return spectral.spectral_clusters(g, 5)
 
 

@@ -79,6 +79,20 @@ class PropertyGraph:
         e = self.edges.where((F.col("dst") == node) & (F.col("src") != node))
         return (e.where(F.col("type") == rel) if rel else e).select(F.col("src").alias("id")).distinct()
 
+    def edge_weight(self, src: str, dst: str) -> DataFrame:
+        """One row: the weight of all edges from one node to another, 0 if there is none."""
+        return self.edges.where((F.col("src") == src) & (F.col("dst") == dst)).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+
+    def edge_types(self, src: str, dst: str) -> DataFrame:
+        """Distinct types of the edges from one node to another."""
+        return self.edges.where((F.col("src") == src) & (F.col("dst") == dst)).select("type").distinct()
+
+    def with_label(self, ids: DataFrame, label: str) -> PropertyGraph:
+        """The graph with one label given to the nodes ``ids`` (id)."""
+        hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
+        n = self.nodes.join(hit, "id", "left").withColumn("label", F.when(F.col("__hit"), F.lit(label)).otherwise(F.col("label"))).drop("__hit")
+        return PropertyGraph(n.select(*self.nodes.columns), self.edges)
+
     def degrees(self) -> DataFrame:
         """id, degree (distinct in-neighbours, loops included), weighted (in-weights) for every node."""
         got = self.edges.groupBy("dst", "src").agg(F.sum("weight").alias("w")).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"), F.sum("w").alias("weighted"))

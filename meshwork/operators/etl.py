@@ -110,3 +110,13 @@ def orient(triples: DataFrame, swapped: list[str]) -> DataFrame:
 def unseen_pairs(left: DataFrame, right: DataFrame, known: DataFrame) -> DataFrame:
     """a, b: every pair of the two sets (a), (b) that is not in ``known`` (a, b). The result is the product's own size."""
     return left.join(right).join(known, ["a", "b"], "left_anti")
+
+
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of one stated set with every row of another. The result is the product's own size."""
+    return left.join(right)
+
+
+def supported(paths: DataFrame, key: list[str], length: int) -> DataFrame:
+    """key, n of the paths that occur often enough for their length: length times its square root, at least."""
+    return paths.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= length * F.sqrt(F.lit(float(length))))
