@@ -28,7 +28,8 @@ from meshwork.plans.scratch import cut, drop, release
 SAMPLE, FREQUENT = 20_000, 10
 #: Rounds of one candidate a document at most, and candidates a document at which no more are needed.
 ROUNDS, FEW = 4, 2
-#: Parts of the shingles' hashes that candidates are compared by, one after the other: each shuffles only so much of the sets.
+#: Parts of the shingles' hashes that candidates are compared by, one after the other: each is a column of its own and
+#: shuffles only so much of the sets.
 SLICES = 4
 #: Pairs up to which one join compares all slices.
 SMALL = 10_000
@@ -54,28 +55,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays or [np.empty(0, np.uint64)]).view(np.int64)))
 
 
-def _sets(texts: DataFrame, size: int, slices: int = 1) -> DataFrame:
-    """sid, slice, tokens for rows (text bytes): a row for each slice of the hashes, empty ones too."""
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens frequent in a sample of the distinct texts, ascending, and in how many of it they are."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                s = [shingles(t.as_py(), size) for t in b.column(0)[i : i + 1000]]
-                sid = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in s], np.uint64).view(np.int64)
-                for k in range(slices):
-                    part = [x[x % np.uint64(slices) == k] for x in s] if slices > 1 else s
-                    yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.full(len(sid), k, np.int32)), _lists(part)], names=["sid", "slice", "tokens"])
-
-    return texts.mapInArrow(run, "sid bigint, slice int, tokens array<bigint>")
+                yield pa.RecordBatch.from_arrays([_lists([shingles(t.as_py(), size) for t in b.column(0)[i : i + 1000]])], names=["tokens"])
 
-
-def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens frequent in a sample of the distinct texts, ascending, and in how many of it they are."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    n = _sets(some, size).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    n = some.mapInArrow(run, "tokens array<bigint>").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     got = n.orderBy(F.desc("n"), "t").limit(1 << 20).toArrow()
     t, c = got.column("t").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(t)
@@ -83,46 +73,64 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heads(docs: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k, m, sid, fp (the set's SimHash), n (tokens), head (the first fifth and one; empty where the task had the set before) for rows (k, m, text bytes)."""
+    """k, m, sid, fp (the set's SimHash), n (tokens), head (the first fifth and one) and s0, s1, ... (the set in slices) for rows (k, m, text bytes).
+
+    Where the task had the set before, head and slices are empty.
+    """
+    names = ["k", "m", "sid", "fp", "n", "head", *(f"s{i}" for i in range(SLICES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         tokens, counts = frequent
         seen: set[int] = set()
-        for b in batches:
-            sid, fp, n, heads = np.empty(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.empty(b.num_rows, np.int64), []
-            for i, text in enumerate(b.column(2)):
-                s = shingles(text.as_py(), size)
-                sid[i], n[i] = xxh64_intdigest(s.tobytes(), SEED), len(s)
-                if int(sid[i]) in seen:
-                    heads.append(s[:0])
-                    continue
-                seen.add(int(sid[i]))
-                fp[i] = simhash.of_hashes(s)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
-                heads.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1].copy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n), _lists(heads)], names=["k", "m", "sid", "fp", "n", "head"])
-
-    return docs.mapInArrow(run, "k bigint, m bigint, sid bigint, fp bigint, n bigint, head array<bigint>")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                sid, fp, n, heads = np.empty(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.empty(b.num_rows, np.int64), []
+                parts: list[list[np.ndarray]] = [[] for _ in range(SLICES)]
+                for i, text in enumerate(b.column(2)):
+                    s = shingles(text.as_py(), size)
+                    sid[i], n[i] = xxh64_intdigest(s.tobytes(), SEED), len(s)
+                    known = int(sid[i]) in seen
+                    if known:
+                        s = s[:0]
+                    else:
+                        seen.add(int(sid[i]))
+                        fp[i] = simhash.of_hashes(s)
+                    for k, some in enumerate(parts):
+                        some.append(s[s % np.uint64(SLICES) == k])
+                    if known:
+                        heads.append(s)
+                        continue
+                    if len(tokens):
+                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                        s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
+                    heads.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1].copy())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n), _lists(heads), *map(_lists, parts)], names=names)
+
+    slices = "".join(f", s{i} array<bigint>" for i in range(SLICES))
+    return docs.mapInArrow(run, "k bigint, m bigint, sid bigint, fp bigint, n bigint, head array<bigint>" + slices)
 
 
 def _close(a: str, b: str):
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least 4/5, counted slice by slice."""
+def _similar(pairs: DataFrame, heads: DataFrame, owners: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least 4/5, counted slice by slice.
+
+    ``owners`` (sid, k0, m0) names one row of ``heads`` for each set; it meets the others where they are dealt by set.
+    """
     parts = []
-    # a few pairs are compared by all slices at once: the same rows in fewer jobs
-    for some in [list(range(SLICES))] if pairs.limit(SMALL + 1).count() <= SMALL else [[k] for k in range(SLICES)]:
-        of = sets.where(F.col("slice").isin(some))
-        x = of.select(F.col("sid").alias("u"), "slice", F.col("tokens").alias("x"))
-        y = of.select(F.col("sid").alias("v"), "slice", F.col("tokens").alias("y"))
-        both = pairs.join(x, "u").join(y, ["v", "slice"])
-        parts.append(cut(both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all")), "common"))
+    # a few pairs are compared by all slices at once: the same counts in fewer jobs
+    for some in [list(range(SLICES))] if pairs.limit(SMALL + 1).count() <= SMALL else [[i] for i in range(SLICES)]:
+        rows = heads.where(F.size("head") > 0).select("sid", "k", "m", F.concat(*(f"s{i}" for i in some)).alias("tokens"))
+        one = rows.join(owners, "sid").where("k = k0 AND m = m0").select("sid", "tokens")
+        x = one.select(F.col("sid").alias("u"), F.col("tokens").alias("x"))
+        y = one.select(F.col("sid").alias("v"), F.col("tokens").alias("y"))
+        both = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
+        parts.append(cut(both.dropDuplicates(["u", "v"]), "common"))  # a row of the input may itself be repeated
         release(pairs.sparkSession)
     every = parts[0]
     for p in parts[1:]:
@@ -140,8 +148,8 @@ def _simhash_pairs(heads: DataFrame) -> DataFrame:
     return same.union(far.select("a", "b")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """sid, component for the sets with a similar other one. ``heads`` is (k, m, sid, fp, n, head), ``texts`` (k, m, text bytes)."""
+def components(heads: DataFrame) -> DataFrame:
+    """sid, component for the sets with a similar other one, from the table of heads."""
     spark = heads.sparkSession
     # tokens of one set alone bring no pairs; dealt once, what remains is small
     same = W.partitionBy("token")
@@ -153,8 +161,8 @@ def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     close = cut(_simhash_pairs(heads), "close")
     met = cut(postings.select("sid").union(close.select("u")).union(close.select("v")).distinct(), "met")
     # one row of the input for each set that meets another
-    owners = heads.join(met, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "m")).alias("id")).select("id.k", "id.m")
-    sets = cut(_sets(texts.join(owners, ["k", "m"], "left_semi").dropDuplicates(["k", "m"]).select("text"), size, SLICES), "sets")
+    owners = heads.where(F.size("head") > 0).select("sid", "k", "m").join(met, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "m")).alias("id"))
+    owners = cut(owners.select("sid", F.col("id.k").alias("k0"), F.col("id.m").alias("m0")), "owners")
     release(spark)
     n_sets = met.count()
 
@@ -162,7 +170,7 @@ def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         joined = cut(star_components(links, "u", "v").select(F.col("id").cast("bigint").alias("sid"), F.col("component").cast("bigint").alias("joined")), "joined")
         return cut(met.join(joined, "sid", "left").select("sid", F.coalesce("joined", "sid").alias("component")), "label")
 
-    tried, links = close, cut(_similar(close, sets), "similar")
+    tried, links = close, cut(_similar(close, heads, owners), "similar")
     label = named(links)
     for r in range(ROUNDS + 1):
         # postings of tokens that more than one component has
@@ -189,14 +197,13 @@ def components(heads: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         if last and not pairs.limit(1).count():
             break
         tried = tried.unionByName(pairs)
-        links = links.unionByName(cut(_similar(pairs, sets), "similar"))
+        links = links.unionByName(cut(_similar(pairs, heads, owners), "similar"))
         label = named(links)
         drop(left)
         release(spark)
         if last:
             break
-    for t in (postings, sets):
-        drop(t)
+    drop(postings)
     return label
 
 
@@ -210,7 +217,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     marked = docs.withColumn(k, F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(_LAST))).withColumn(m, F.xxhash64(F.col(f"`{text}`")))
     texts = marked.select(F.col(k).alias("k"), F.col(m).alias("m"), utf8(F.col(f"`{text}`")).alias("text"))
     heads = cut(_heads(texts, size, _frequent(texts, size)), "heads")
-    found = heads.select("k", "m", "sid").join(components(heads, texts, size), "sid", "left").select("k", "m", F.coalesce("component", "sid").alias("component"))
+    found = heads.select("k", "m", "sid").join(components(heads), "sid", "left").select("k", "m", F.coalesce("component", "sid").alias("component"))
     kept = cut(found.groupBy("component").agg(F.min(F.struct("k", "m")).alias("id")).select(F.col("id.k").alias(k), F.col("id.m").alias(m)), "kept")
     drop(heads)
     release(docs.sparkSession)
