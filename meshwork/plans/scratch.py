@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,5 +52,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 
     It does so when the driver collects garbage, which a driver that only plans may not do for long.
+    Frames that Python still holds in cycles are let go first.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
