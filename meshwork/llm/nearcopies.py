@@ -123,8 +123,13 @@ def _similar(pairs: DataFrame, heads: DataFrame, owners: DataFrame) -> DataFrame
     ``owners`` (sid, k0, m0) names one row of ``heads`` for each set; it meets the others where they are dealt by set.
     """
     parts = []
+    few = pairs.limit(SMALL + 1).count() <= SMALL
+    if few:
+        asked = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
+        # at most two rows a pair: only the sets of the pairs are then dealt
+        owners = F.broadcast(cut(owners.join(asked, "sid", "left_semi"), "asked"))
     # a few pairs are compared by all slices at once: the same counts in fewer jobs
-    for some in [list(range(SLICES))] if pairs.limit(SMALL + 1).count() <= SMALL else [[i] for i in range(SLICES)]:
+    for some in [list(range(SLICES))] if few else [[i] for i in range(SLICES)]:
         rows = heads.where(F.size("head") > 0).select("sid", "k", "m", F.concat(*(f"s{i}" for i in some)).alias("tokens"))
         one = rows.join(owners, "sid").where("k = k0 AND m = m0").select("sid", "tokens")
         x = one.select(F.col("sid").alias("u"), F.col("tokens").alias("x"))
@@ -216,7 +221,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     own = docs.columns
     marked = docs.withColumn(k, F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(_LAST))).withColumn(m, F.xxhash64(F.col(f"`{text}`")))
     texts = marked.select(F.col(k).alias("k"), F.col(m).alias("m"), utf8(F.col(f"`{text}`")).alias("text"))
-    heads = cut(_heads(texts, size, _frequent(texts, size)), "heads")
+    frequent = _frequent(texts, size)
+    release(docs.sparkSession)
+    heads = cut(_heads(texts, size, frequent), "heads")
     found = heads.select("k", "m", "sid").join(components(heads), "sid", "left").select("k", "m", F.coalesce("component", "sid").alias("component"))
     kept = cut(found.groupBy("component").agg(F.min(F.struct("k", "m")).alias("id")).select(F.col("id.k").alias(k), F.col("id.m").alias(m)), "kept")
     drop(heads)
