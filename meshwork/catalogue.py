@@ -334,7 +334,12 @@ def louvain(spark, d):
 
 
 def _doc_words(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(fn.tokens(fn.ascii_clean("text")))).alias("word"))
+    """Distinct pairs doc, word. Words are distinct in a row; only rows whose id comes again are compared with others."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.array_distinct(fn.tokens(fn.ascii_clean("text"))).alias("words"))
+    again = cut(docs.groupBy(F.col("doc").alias("id")).count().where("count > 1").select("id"), "again")
+    same = F.col("doc").eqNullSafe(F.col("id"))
+    once = docs.join(again, same, "left_anti").select("doc", F.explode("words").alias("word"))
+    return once.union(docs.join(again, same, "left_semi").select("doc", F.explode("words").alias("word")).distinct())
 
 
 _BRIM = """WITH a AS (SELECT DISTINCT doc_id AS doc, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')), '\\s+'), lambda x: x <> '')) AS word FROM documents),
@@ -350,14 +355,14 @@ SELECT doc, min(c) AS c FROM (SELECT *, max(s) OVER (PARTITION BY doc) AS t FROM
 
 @query(_BRIM.format(start="SELECT doc, doc AS c FROM dd"))
 def brim_round_1(spark, d):
-    return communities.brim(_doc_words(spark, d), None, rounds=1, fixed=True, measured=False)[0]
+    return communities.brim(_doc_words(spark, d), None, rounds=1, fixed=True, measured=False, unique=True)[0]
 
 
 @query(_BRIM.format(start="SELECT dd.doc, min(lang) AS c FROM dd JOIN documents ON doc = doc_id GROUP BY dd.doc"))
 def brim_seeded(spark, d):
     a = cut(_doc_words(spark, d), "words")
     lang = read(spark, d, "documents").groupBy(F.col("doc_id").alias("doc")).agg(F.min("lang").alias("c"))
-    return communities.brim(a, a.select("doc").distinct().join(lang, "doc"), rounds=1, fixed=True, measured=False)[0]
+    return communities.brim(a, a.select("doc").distinct().join(lang, "doc"), rounds=1, fixed=True, measured=False, unique=True)[0]
 
 
 _CC = "WITH RECURSIVE g AS (SELECT src, dst FROM sym WHERE type = 'in_region'), r(id, m) AS (SELECT id, id FROM (SELECT DISTINCT src AS id FROM g) UNION SELECT g.dst, r.m FROM r JOIN g ON g.src = r.id), c AS (SELECT id, min(m) AS component FROM r GROUP BY id)"

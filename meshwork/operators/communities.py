@@ -112,51 +112,85 @@ def neighborhood_overlap(edges: DataFrame) -> DataFrame:
     return meet.join(closed.select(F.col("id").alias("j"), "m"), "j").groupBy("id").agg(F.sort_array(F.collect_set("m")).alias("members"))
 
 
-#: Rows up to which a table of ids and numbers is broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 400_000
+#: Rows of ids and numbers, and bytes of their ids, up to which a table is broadcast; beyond them the join is shuffled. Longest id, in bytes, that is broadcast alone.
+BROADCAST_ROWS, BROADCAST_BYTES, LONGEST = 400_000, 24 << 20, 60
 
 
 def _sent(rows: DataFrame) -> DataFrame:
-    """A written table, broadcast if it is small."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+    """A written table (its id first), broadcast if it is small."""
+    width = F.octet_length(F.col(rows.columns[0]).cast("string"))
+    n, size = rows.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else rows
 
 
-def _argmax_side(links: DataFrame, comm: DataFrame, degree: DataFrame, totals: DataFrame, m: float) -> DataFrame:
+def _with_names(links: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (id, other) with c and big from the written table ``named`` (other, d, c, big).
+
+    Where that is too large to broadcast, its rows of greatest degree d are: they meet most links. The
+    links that are left are dealt.
+    """
+    plain = named.drop("d")
+    if _sent(plain) is not plain:
+        return links.join(_sent(plain), "other")
+    level = F.floor(F.log2("d") * 4).cast("int")
+    short = F.octet_length(F.col("other").cast("string")) <= LONGEST
+    room, least = BROADCAST_ROWS, None
+    # a few hundred levels at most, whatever the size
+    for lv, n in named.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if n > room:
+            break
+        room, least = room - n, lv
+    if least is None:
+        return links.join(plain, "other")
+    often = short & (level >= least)
+    top = F.broadcast(cut(named.where(often).drop("d"), "often"))
+    rest = cut(links.join(top, "other", "left_anti"), "rest")  # of its own size when the join is planned
+    return links.join(top, "other").unionByName(rest.join(named.where(~often).drop("d"), "other"))
+
+
+def _argmax_side(links: DataFrame, comm: DataFrame, degree: DataFrame, other_degree: DataFrame, totals: DataFrame, m: float, alone: bool = False) -> DataFrame:
     """For one side: the community with the greatest score n - K * d / m, the least of equal ones.
 
-    links (id, other), comm (other, c), degree (id, d), totals (c, big). Communities without a link
-    score -K * d / m, best for the least K: one candidate row for each node covers them all. A community's
-    total goes along with its members, so links are joined once and counted with a combine.
+    links (id, other), comm (other, c), degree (id, d), other_degree (other, d), totals (c, big). Communities
+    without a link score -K * d / m, best for the least K: one candidate row for each node covers them all. A
+    community's total goes along with its members, so links are joined once and counted with a combine. Of the
+    communities that a node has equally many links to only the one of least K can win, so that few
+    rows of a node meet its degree. If each community has one member (``alone``) that number is 1.
     """
-    named = cut(comm.join(totals, "c"), "named")
-    n = links.join(_sent(named), "other").groupBy("id", "c", "big").agg(F.count("*").alias("n"))
+    named = cut(comm.join(totals, "c").join(other_degree, "other").select("other", "d", "c", "big"), "named")
+    met = _with_names(links, named)
+    n = met.select("id", "c", "big", F.lit(1).cast("bigint").alias("n")) if alone else met.groupBy("id", "c", "big").agg(F.count("*").alias("n"))
+    few = cut(n.groupBy("id", "n").agg(F.min(F.struct("big", "c")).alias("s")), "few")
     low = totals.agg(F.min(F.struct("big", "c")).alias("s")).select(F.col("s.big").alias("big"), F.col("s.c").alias("c"))
-    near = n.join(_sent(degree), "id").select("id", "c", "n", "d", "big")
+    near = few.join(_sent(degree), "id").select("id", "s.c", "n", "d", "s.big")
     far = degree.join(F.broadcast(low)).select("id", "c", F.lit(0).cast("bigint").alias("n"), "d", "big")
     behind = F.col("big") * F.col("d") / F.lit(m) - F.col("n")
     best = near.union(far).select("id", F.struct(behind.alias("behind"), "c").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
     return best.select("id", "s.c")
 
 
-def brim(pairs: DataFrame, start: DataFrame | None, rounds: int = 20, fixed: bool = False, measured: bool = True) -> tuple[DataFrame, DataFrame, list[float]]:
+def brim(pairs: DataFrame, start: DataFrame | None, rounds: int = 20, fixed: bool = False, measured: bool = True, unique: bool = False) -> tuple[DataFrame, DataFrame, list[float]]:
     """Bipartite modularity over distinct pairs (doc, word) from doc communities ``start`` (doc, c; if not given each doc is one): docs, words and the modularity by round.
 
     A round moves all words, then all docs, to their best community; stops at a gain of at most
     min(1 / m, 1e-5) unless ``fixed``. The modularity matrix stays implicit. Fixed rounds need no
-    modularity: it is left out if not ``measured``.
+    modularity: it is left out if not ``measured``. Pairs known to be distinct (``unique``) are not compared.
     """
-    a = cut(pairs.select("doc", "word").distinct(), "pairs")
+    a = pairs.select("doc", "word")
+    a = cut(a if unique else a.distinct(), "pairs")
     dd = cut(a.groupBy("doc").agg(F.count("*").alias("d")), "docs")
     dw = cut(a.groupBy("word").agg(F.count("*").alias("d")), "words")
     total = float(dd.agg(F.sum("d")).first()[0] or 0)
-    start = dd.select("doc", F.col("doc").alias("c")) if start is None else start
+    alone = start is None
+    start = dd.select("doc", F.col("doc").alias("c")) if alone else start
     index = cut(start.select("c").distinct(), "index")
     docs, words, qs = cut(start, "start"), None, []
     for _ in range(rounds):
         k = cut(index.join(docs.join(dd, "doc").groupBy("c").agg(F.sum("d").alias("big")), "c", "left").na.fill(0, ["big"]), "totals")
-        words = cut(_argmax_side(a.select(F.col("word").alias("id"), F.col("doc").alias("other")), docs.select(F.col("doc").alias("other"), "c"), dw.withColumnRenamed("word", "id"), k, total).withColumnRenamed("id", "word"), "words")
+        words = cut(_argmax_side(a.select(F.col("word").alias("id"), F.col("doc").alias("other")), docs.select(F.col("doc").alias("other"), "c"), dw.withColumnRenamed("word", "id"), dd.withColumnRenamed("doc", "other"), k, total, alone).withColumnRenamed("id", "word"), "words")
+        alone = False
         k = cut(index.join(words.join(dw, "word").groupBy("c").agg(F.sum("d").alias("big")), "c", "left").na.fill(0, ["big"]), "totals")
-        docs = cut(_argmax_side(a.select(F.col("doc").alias("id"), F.col("word").alias("other")), words.select(F.col("word").alias("other"), "c"), dd.withColumnRenamed("doc", "id"), k, total).withColumnRenamed("id", "doc"), "docs")
+        docs = cut(_argmax_side(a.select(F.col("doc").alias("id"), F.col("word").alias("other")), words.select(F.col("word").alias("other"), "c"), dd.withColumnRenamed("doc", "id"), dw.withColumnRenamed("word", "other"), k, total).withColumnRenamed("id", "doc"), "docs")
         if fixed and not measured:
             continue
         inside = a.join(_sent(docs), "doc").join(_sent(words.withColumnRenamed("c", "cw")), "word").where("c = cw").count()
