@@ -4,17 +4,20 @@ Candidates come from two sides. SimHash links (:mod:`meshwork.llm.simhash`: fing
 met at anchor points) find the closest copies cheaply. For the rest: two sets of that similarity share at
 least four fifths of the shingles of the larger, so in any order of all shingles the first fifths of both
 have one in common. Shingles that are frequent in a sample stand last in the order, so that passages found
-everywhere bring no pairs. Each candidate is decided by the whole sets. Pairs inside a component need no
+everywhere bring no pairs. The same order bounds what a pair can share beyond its heads, which rules most
+candidates out; each of the others is decided by the whole sets, made again from the texts. Those lie and
+travel compressed: a third of what the hashes of their shingles take. Pairs inside a component need no
 decision: rounds with one candidate a document join crowds before all that is left is compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,11 +31,10 @@ from meshwork.plans.scratch import cut, drop, release
 SAMPLE, FREQUENT = 20_000, 10
 #: Rounds of one candidate a document at most, and candidates a document at which no more are needed.
 ROUNDS, FEW = 4, 2
-#: Parts of the shingles' hashes that candidates are compared by, one after the other: each is a column of its own and
-#: shuffles only so much of the sets.
-SLICES = 4
-#: Pairs up to which one join compares all slices.
-SMALL = 10_000
+#: Share of the pairs still open that a round has to settle for another one to follow.
+WORTH = 0.2
+#: Pairs up to which the texts asked for are picked out by a broadcast.
+SMALL = 50_000
 _LAST = (1 << 63) - 1
 
 
@@ -73,11 +75,10 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _heads(docs: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k, m, sid, fp (the set's SimHash), n (tokens), head (the first fifth and one) and s0, s1, ... (the set in slices) for rows (k, m, text bytes).
+    """k, m, sid, fp (the set's SimHash), n (tokens), head (the first fifth and one), body and room (the words, compressed, and their bytes) for rows (k, m, text bytes).
 
-    Where the task had the set before, head and slices are empty.
+    Where the task had the set before, head and body are empty.
     """
-    names = ["k", "m", "sid", "fp", "n", "head", *(f"s{i}" for i in range(SLICES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -88,59 +89,76 @@ def _heads(docs: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray])
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
                 sid, fp, n, heads = np.empty(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.empty(b.num_rows, np.int64), []
-                parts: list[list[np.ndarray]] = [[] for _ in range(SLICES)]
+                bodies, room = [b""] * b.num_rows, np.zeros(b.num_rows, np.int64)
                 for i, text in enumerate(b.column(2)):
-                    s = shingles(text.as_py(), size)
+                    words = b" ".join(text.as_py().lower().split())
+                    s = shingles(words, size)
                     sid[i], n[i] = xxh64_intdigest(s.tobytes(), SEED), len(s)
-                    known = int(sid[i]) in seen
-                    if known:
-                        s = s[:0]
-                    else:
-                        seen.add(int(sid[i]))
-                        fp[i] = simhash.of_hashes(s)
-                    for k, some in enumerate(parts):
-                        some.append(s[s % np.uint64(SLICES) == k])
-                    if known:
-                        heads.append(s)
+                    if int(sid[i]) in seen:
+                        heads.append(s[:0])
                         continue
+                    seen.add(int(sid[i]))
+                    fp[i] = simhash.of_hashes(s)
+                    bodies[i], room[i] = pa.compress(words, codec="zstd", asbytes=True), len(words)
                     if len(tokens):
                         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                         s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
-                    heads.append(s[: len(s) - (4 * len(s) + 4) // 5 + 1].copy())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n), _lists(heads), *map(_lists, parts)], names=names)
+                    heads.append(s[: len(s) - _most(len(s))].copy())
+                columns = [b.column(0), b.column(1), pa.array(sid.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n), _lists(heads), pa.array(bodies, pa.binary()), pa.array(room)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "m", "sid", "fp", "n", "head", "body", "room"])
 
-    slices = "".join(f", s{i} array<bigint>" for i in range(SLICES))
-    return docs.mapInArrow(run, "k bigint, m bigint, sid bigint, fp bigint, n bigint, head array<bigint>" + slices)
+    return docs.mapInArrow(run, "k bigint, m bigint, sid bigint, fp bigint, n bigint, head array<bigint>, body binary, room bigint")
+
+
+def _most(n: int) -> int:
+    """Tokens that a set of ``n`` has beyond its head."""
+    return (4 * n + 4) // 5 - 1
 
 
 def _close(a: str, b: str):
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
 
 
-def _similar(pairs: DataFrame, heads: DataFrame, owners: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those whose sets have a Jaccard similarity of at least 4/5, counted slice by slice.
+def _likely(pairs: DataFrame, kin: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those that can have a Jaccard similarity of at least 4/5 by what their heads share.
 
-    ``owners`` (sid, k0, m0) names one row of ``heads`` for each set; it meets the others where they are dealt by set.
+    Of the set whose head ends first in the order, what both have up to there is in both heads; beyond it
+    they share no more than that set has left. ``kin`` (sid, n, tokens) has the tokens of a head that other heads have.
     """
-    parts = []
-    few = pairs.limit(SMALL + 1).count() <= SMALL
-    if few:
-        asked = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-        # at most two rows a pair: only the sets of the pairs are then dealt
-        owners = F.broadcast(cut(owners.join(asked, "sid", "left_semi"), "asked"))
-    # a few pairs are compared by all slices at once: the same counts in fewer jobs
-    for some in [list(range(SLICES))] if few else [[i] for i in range(SLICES)]:
-        rows = heads.where(F.size("head") > 0).select("sid", "k", "m", F.concat(*(f"s{i}" for i in some)).alias("tokens"))
-        one = rows.join(owners, "sid").where("k = k0 AND m = m0").select("sid", "tokens")
-        x = one.select(F.col("sid").alias("u"), F.col("tokens").alias("x"))
-        y = one.select(F.col("sid").alias("v"), F.col("tokens").alias("y"))
-        both = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-        parts.append(cut(both.dropDuplicates(["u", "v"]), "common"))  # a row of the input may itself be repeated
-        release(pairs.sparkSession)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every.groupBy("u", "v").agg(F.sum("common").alias("common"), F.sum("all").alias("all")).where(9 * F.col("common") >= 4 * F.col("all")).select("u", "v")
+    x = kin.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("x"))
+    y = kin.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("y"))
+    both = pairs.join(x, "u").join(y, "v").where(_close("nu", "nv"))
+    return both.where(_enough(F.size(F.array_intersect("x", "y")))).select("u", "v")
+
+
+def _enough(shared: Column) -> Column:
+    """Whether sets of nu and nv tokens with so many of their heads' tokens in common can be similar."""
+    left = F.floor((4 * F.greatest("nu", "nv") + 4) / 5) - 1
+    return 9 * (shared + left) >= 4 * (F.col("nu") + F.col("nv"))
+
+
+def _similar(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
+    """Of the pairs (u, v) those whose whole sets, made from the words in ``bodies`` (sid, body, room), have a Jaccard similarity of at least 4/5."""
+    if pairs.limit(SMALL + 1).count() <= SMALL:
+        # at most two rows a pair: only the texts of the pairs are then dealt
+        asked = cut(pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct(), "asked")
+        bodies = bodies.join(F.broadcast(asked), "sid", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=64)
+        def tokens(body: bytes, room: int) -> np.ndarray:
+            return shingles(pa.decompress(body, decompressed_size=room, codec="zstd", asbytes=True), size)
+
+        for b in batches:
+            near = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (tokens(b.column(k)[i].as_py(), b.column(k + 1)[i].as_py()) for k in (2, 4))
+                near[i] = 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+            yield b.select([0, 1]).filter(pa.array(near))
+
+    x = bodies.select(F.col("sid").alias("u"), F.col("body").alias("x"), F.col("room").alias("rx"))
+    y = bodies.select(F.col("sid").alias("v"), F.col("body").alias("y"), F.col("room").alias("ry"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "rx", "y", "ry").mapInArrow(run, "u bigint, v bigint")
 
 
 def _simhash_pairs(heads: DataFrame) -> DataFrame:
@@ -153,8 +171,8 @@ def _simhash_pairs(heads: DataFrame) -> DataFrame:
     return same.union(far.select("a", "b")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def components(heads: DataFrame) -> DataFrame:
-    """sid, component for the sets with a similar other one, from the table of heads."""
+def components(heads: DataFrame, size: int) -> DataFrame:
+    """sid, component for the sets with a similar other one, from the table of heads, which is deleted as soon as it is used."""
     spark = heads.sparkSession
     # tokens of one set alone bring no pairs; dealt once, what remains is small
     same = W.partitionBy("token")
@@ -168,14 +186,18 @@ def components(heads: DataFrame) -> DataFrame:
     # one row of the input for each set that meets another
     owners = heads.where(F.size("head") > 0).select("sid", "k", "m").join(met, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("k", "m")).alias("id"))
     owners = cut(owners.select("sid", F.col("id.k").alias("k0"), F.col("id.m").alias("m0")), "owners")
+    bodies = heads.where(F.size("head") > 0).select("sid", "k", "m", "body", "room").join(owners, "sid").where("k = k0 AND m = m0")
+    bodies = cut(bodies.dropDuplicates(["sid"]).select("sid", "body", "room"), "bodies")  # a row of the input may itself be repeated
+    drop(heads)
+    kin = cut(postings.groupBy("sid", "n").agg(F.collect_list("token").alias("tokens")), "kin")
     release(spark)
-    n_sets = met.count()
+    n_sets, before = met.count(), None
 
     def named(links: DataFrame) -> DataFrame:
         joined = cut(star_components(links, "u", "v").select(F.col("id").cast("bigint").alias("sid"), F.col("component").cast("bigint").alias("joined")), "joined")
         return cut(met.join(joined, "sid", "left").select("sid", F.coalesce("joined", "sid").alias("component")), "label")
 
-    tried, links = close, cut(_similar(close, heads, owners), "similar")
+    tried, links = close, cut(_similar(cut(_likely(close, kin), "likely"), bodies, size), "similar")
     label = named(links)
     for r in range(ROUNDS + 1):
         # postings of tokens that more than one component has
@@ -186,11 +208,13 @@ def components(heads: DataFrame) -> DataFrame:
         cross = per.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("x")).agg(F.sum("x")).first()[0] or 0.0
         if not cross:
             break
-        last = r == ROUNDS or cross <= FEW * n_sets
+        last = r == ROUNDS or cross <= FEW * n_sets or (before is not None and cross > (1 - WORTH) * before)
+        before = cross
         if last:
             other = left.select("token", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
             pairs = left.join(other, "token").where((F.col("sid") < F.col("v")) & (F.col("component") != F.col("cv")) & _close("n", "nv"))
-            pairs = pairs.select(F.col("sid").alias("u"), "v").distinct()
+            # all tokens that two heads of different components share are open
+            pairs = pairs.groupBy(F.col("sid").alias("u"), "v", F.col("n").alias("nu"), "nv").agg(F.count("*").alias("c")).where(_enough(F.col("c"))).select("u", "v")
         else:
             # each token names one leader a round; a document tries the leader it shares most tokens with
             lead = left.groupBy("token").agg(F.min_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(r))).alias("lead"))
@@ -199,16 +223,17 @@ def components(heads: DataFrame) -> DataFrame:
             asked = asked.join(tried, ["u", "v"], "left_anti")
             pairs = asked.groupBy("sid").agg(F.max_by(F.struct("u", "v"), F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
         pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if last and not pairs.limit(1).count():
-            break
         tried = tried.unionByName(pairs)
-        links = links.unionByName(cut(_similar(pairs, heads, owners), "similar"))
-        label = named(links)
+        found = cut(_similar(pairs if last else cut(_likely(pairs, kin), "likely"), bodies, size), "similar")
         drop(left)
         release(spark)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            label = named(links)
         if last:
             break
-    drop(postings)
+    for spent in (postings, kin, bodies):
+        drop(spent)
     return label
 
 
@@ -224,8 +249,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     frequent = _frequent(texts, size)
     release(docs.sparkSession)
     heads = cut(_heads(texts, size, frequent), "heads")
-    found = heads.select("k", "m", "sid").join(components(heads), "sid", "left").select("k", "m", F.coalesce("component", "sid").alias("component"))
+    sets = cut(heads.select("k", "m", "sid"), "sets")
+    found = sets.join(components(heads, size), "sid", "left").select("k", "m", F.coalesce("component", "sid").alias("component"))
     kept = cut(found.groupBy("component").agg(F.min(F.struct("k", "m")).alias("id")).select(F.col("id.k").alias(k), F.col("id.m").alias(m)), "kept")
-    drop(heads)
+    drop(sets)
     release(docs.sparkSession)
     return marked.join(kept, [k, m], "left_semi").dropDuplicates([k, m]).select(*(F.col(f"`{c}`") for c in own))

@@ -75,3 +75,21 @@ def test_shingles_of_real_documents(spark):
     rows = [tuple(x) for x in d.collect()]
     got = nearcopies.one_of_each(spark.createDataFrame(rows, d.schema))
     assert sorted(x.doc_id for x in got.collect()) == plain(rows)[0]
+
+
+def test_tables_of_the_stage_take_less_than_the_texts(spark, monkeypatch):
+    r, sizes, real = random.Random(7), {}, nearcopies.cut
+    vocab = [f"word{k}" for k in range(3000)]
+
+    def cut(df, name="table"):
+        out = real(df, name)
+        sizes[name] = sizes.get(name, 0) + sum(spark.read.format("binaryFile").load(f).select("length").first()[0] for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(nearcopies, "cut", cut)
+    rows = [(i, " ".join(r.choices(vocab, k=3000))) for i in range(60)]
+    rows += [(60 + i, t + " tail") for i, t in rows]
+    got = nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2))
+    assert sorted(x.doc_id for x in got.collect()) == list(range(60))
+    assert sizes["heads"] < sum(len(t) for _, t in rows)
+    assert sum(v for k, v in sizes.items() if k != "heads") < sum(len(t) for _, t in rows)
