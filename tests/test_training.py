@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from meshwork.functions.scalars import learning_rates, uniform
 from meshwork.graph import PropertyGraph, hashed_metapaths
 from meshwork.operators import learning, spectral, vectors, walks
+from meshwork.plans.scratch import cut
 
 
 def test_eigenvectors_above_the_dense_size(spark, monkeypatch):
@@ -61,3 +62,16 @@ def test_too_many_edge_types_fall_back(spark):
     plain = sorted(map(str, walks.simulate(e, nodes, 2, 4).collect()))
     assert sorted(map(str, walks.simulate(e, nodes, 2, 4, transitions=t, most_types=1).collect())) == plain
     assert walks.simulate(e, spark.createDataFrame([("z",)], "id string"), 2, 4).count() == 0
+
+
+def test_no_vectors_of_nodes_are_broadcast(spark):
+    n = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("t").alias("type"), F.lit("l").alias("label"))
+    e = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), F.pmod(F.col("id") * 7, F.lit(2000))).alias("dst"), F.lit("e").alias("type"), F.lit(1.0).alias("weight"))
+    g = PropertyGraph(n, e)
+    x = cut(g.nodes.select("id", F.array_repeat(F.lit(0.5), 32).alias("vector")), "x")
+    out = vectors.propagate(cut(g.propagation(), "p"), x)
+    for df in (out, g.propagation(), g.degrees()):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.vector for r in out.collect()}
+    assert len(got) == 2000 and all(len(v) == 32 and abs(v[0] - 1.0) < 1e-9 for v in got.values())
