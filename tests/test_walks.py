@@ -45,3 +45,11 @@ def test_transitions_by_maps_and_by_joins(spark, hub, monkeypatch):
     maps = _rows(walks.second_order_walk(hub, _start(spark), 5, 0.5, 2.0, transitions=t))
     monkeypatch.setattr(walks, "TYPES", 0)
     assert _rows(walks.second_order_walk(hub, _start(spark), 5, 0.5, 2.0, transitions=t)) == maps
+
+
+def test_what_hashes_have_in_common_is_put_together_before_the_lists(spark, hub, monkeypatch):
+    plans, real = [], walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df, name="table": (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), real(df, name))[1])
+    walks.walk(hub, _start(spark), 2)
+    moved = [p for name, p in plans if name == "moved"]
+    assert moved and all("concat(prefix" in p for p in moved)
