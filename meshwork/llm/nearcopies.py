@@ -7,7 +7,8 @@ have one in common. Shingles that are frequent in a sample stand last in the ord
 everywhere bring no pairs. The same order bounds what a pair can share beyond its heads, which rules most
 candidates out; each of the others is decided by the whole sets, made again from the texts. Those lie and
 travel compressed: a third of what the hashes of their shingles take. Pairs inside a component need no
-decision: rounds with one candidate a document join crowds before all that is left is compared.
+decision: rounds with a few leaders of each shingle join crowds before all that is left is compared. Two sets
+meet only at shingles that can be the first they share, rarest first, if they share as many as they have to.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from meshwork.plans.scratch import cut, drop, release
 
 #: Documents in the sample for frequent shingles, and how many of them a frequent one is in. The order decides costs alone.
 SAMPLE, FREQUENT = 20_000, 10
-#: Rounds of one candidate a document at most, and candidates a document at which no more are needed.
-ROUNDS, FEW = 4, 2
+#: Rounds with leaders alone at most, leaders of a token, and candidates a document at which no more rounds are needed.
+ROUNDS, LEADERS, FEW = 4, 8, 2
 #: Share of the pairs still open that a round has to settle for another one to follow.
 WORTH = 0.2
 #: Pairs up to which the texts asked for are picked out by a broadcast.
@@ -137,6 +138,25 @@ def _enough(shared: Column) -> Column:
     return 9 * (shared + left) >= 4 * (F.col("nu") + F.col("nv"))
 
 
+def _ranked(postings: DataFrame) -> DataFrame:
+    """Postings (sid, n, token, df, ...) with ``held``, the tokens that a set has here, and ``room``: how many of them, from this one on, stand in the order of df, rarest first."""
+    own = W.partitionBy("sid")
+    return postings.withColumn("held", F.count("*").over(own)).withColumn("room", F.col("held") - F.row_number().over(own.orderBy("df", "token")) + 1)
+
+
+def _may_be_first() -> Column:
+    """Whether the token can be the first, in the order of df, that a set shares with a similar one of another component.
+
+    Such sets share so many tokens of their heads (:func:`_enough`), all of them open, that the first has room
+    for the others behind it. A partner has from lo to hi tokens, and from 4/5 to 5/4 of n: of the smaller ones the
+    smallest asks for the fewest shared tokens, of the larger ones the largest, up to rounding.
+    """
+    n, room = F.col("n"), F.col("room")
+    smaller = 45 * (room + F.floor((4 * n + 4) / 5) - 1) >= 4 * (5 * n + F.greatest(5 * F.col("lo"), 4 * n))
+    larger = 45 * room > 20 * n - 4 * F.least(4 * F.col("hi"), 5 * n)
+    return smaller | larger
+
+
 def _similar(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets, made from the words in ``bodies`` (sid, body, room), have a Jaccard similarity of at least 4/5."""
     if pairs.limit(SMALL + 1).count() <= SMALL:
@@ -202,29 +222,28 @@ def components(heads: DataFrame, size: int) -> DataFrame:
     for r in range(ROUNDS + 1):
         # postings of tokens that more than one component has
         spread = postings.join(label, "sid")
-        open_ = spread.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-        left = cut(spread.join(open_, "token"), "open")
-        per = left.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
+        open_ = spread.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        left = cut(_ranked(spread.join(open_.where("a < b").drop("a", "b"), "token")), "open")
+        first = left.where(_may_be_first())
+        per = first.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
         cross = per.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("x")).agg(F.sum("x")).first()[0] or 0.0
         if not cross:
             break
         last = r == ROUNDS or cross <= FEW * n_sets or (before is not None and cross > (1 - WORTH) * before)
         before = cross
-        if last:
-            other = left.select("token", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-            pairs = left.join(other, "token").where((F.col("sid") < F.col("v")) & (F.col("component") != F.col("cv")) & _close("n", "nv"))
-            # all tokens that two heads of different components share are open
-            pairs = pairs.groupBy(F.col("sid").alias("u"), "v", F.col("n").alias("nu"), "nv").agg(F.count("*").alias("c")).where(_enough(F.col("c"))).select("u", "v")
-        else:
-            # each token names one leader a round; a document tries the leader it shares most tokens with
-            lead = left.groupBy("token").agg(F.min_by(F.struct("sid", "n", "component"), F.xxhash64("sid", F.lit(r))).alias("lead"))
-            asked = left.join(lead, "token").select("sid", "n", "component", F.col("lead.sid").alias("v"), F.col("lead.n").alias("nv"), F.col("lead.component").alias("cv"))
-            asked = asked.where((F.col("component") != F.col("cv")) & _close("n", "nv")).groupBy(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v"), "sid").agg(F.count("*").alias("c"))
-            asked = asked.join(tried, ["u", "v"], "left_anti")
-            pairs = asked.groupBy("sid").agg(F.max_by(F.struct("u", "v"), F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct()
+        y = first
+        if not last:
+            # the sets with the most open tokens are the likeliest partners; who has most changes as components grow
+            place = F.row_number().over(W.partitionBy("token").orderBy(F.lit(0) if r % 2 else F.desc("held"), F.xxhash64("sid", F.lit(r))))
+            y = first.withColumn("place", place).where(F.col("place") <= LEADERS)
+        x = first.select("token", "sid", F.col("n").alias("nu"), "component", "room")
+        y = y.select("token", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("room").alias("rv"))
+        order = F.col("sid") < F.col("v") if last else F.lit(True)
+        pairs = x.join(y, "token").where(order & (F.col("component") != F.col("cv")) & _close("nu", "nv") & _enough(F.least("room", "rv")))
+        pairs = pairs.select(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v")).distinct()
         pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        found = cut(_similar(pairs if last else cut(_likely(pairs, kin), "likely"), bodies, size), "similar")
+        found = cut(_similar(cut(_likely(pairs, kin), "likely"), bodies, size), "similar")
         drop(left)
         release(spark)
         if found.limit(1).count():

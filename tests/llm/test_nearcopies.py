@@ -93,3 +93,20 @@ def test_tables_of_the_stage_take_less_than_the_texts(spark, monkeypatch):
     assert sorted(x.doc_id for x in got.collect()) == list(range(60))
     assert sizes["heads"] < sum(len(t) for _, t in rows)
     assert sum(v for k, v in sizes.items() if k != "heads") < sum(len(t) for _, t in rows)
+
+
+def test_a_group_of_loose_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    r, asked, real = random.Random(11), [], nearcopies._similar
+    crowd = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        v = list(crowd)
+        for at in r.sample(range(150), 1 + i % 6):
+            v[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(v)))
+    want, pairs = plain(rows)
+    assert 20 < len(want) < 200 and pairs > 1000
+    monkeypatch.setattr(nearcopies, "_similar", lambda p, *rest: (asked.append(p.count()), real(p, *rest))[1])
+    got = nearcopies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted(x.doc_id for x in got.collect()) == want
+    assert sum(asked) < 12 * len(rows)  # of 28,680 pairs
