@@ -32,6 +32,8 @@ from meshwork.plans.scratch import cut, drop, release
 SAMPLE, FREQUENT = 20_000, 10
 #: Rounds with leaders alone at most, leaders of a token, and candidates a document at which no more rounds are needed.
 ROUNDS, LEADERS, FEW = 4, 8, 2
+#: Tokens of a set before the one at which a pair meets that are searched for an earlier meeting.
+PAST = 64
 #: Share of the pairs still open that a round has to settle for another one to follow.
 WORTH = 0.2
 #: Pairs up to which the texts asked for are picked out by a broadcast.
@@ -139,9 +141,16 @@ def _enough(shared: Column) -> Column:
 
 
 def _ranked(postings: DataFrame) -> DataFrame:
-    """Postings (sid, n, token, df, ...) with ``held``, the tokens that a set has here, and ``room``: how many of them, from this one on, stand in the order of df, rarest first."""
+    """Postings (sid, n, token, df, s1, s2, ...) with ``held``, the tokens that a set has here, and ``room``: how many of them, from this one on, stand in the order of df, rarest first.
+
+    Tokens that the same sets have (``s1`` and ``s2`` are 128 bits of a hash of them) follow each other; a pair
+    that has one has all, so that only the first of them stays.
+    """
     own = W.partitionBy("sid")
-    return postings.withColumn("held", F.count("*").over(own)).withColumn("room", F.col("held") - F.row_number().over(own.orderBy("df", "token")) + 1)
+    order = own.orderBy("df", "s1", "s2", "token")
+    same = F.lag("s1").over(order).eqNullSafe(F.col("s1")) & F.lag("s2").over(order).eqNullSafe(F.col("s2"))
+    ranked = postings.withColumn("held", F.count("*").over(own)).withColumn("room", F.col("held") - F.row_number().over(order) + 1)
+    return ranked.withColumn("again", same).where("NOT again").drop("again", "s1", "s2")
 
 
 def _may_be_first() -> Column:
@@ -222,9 +231,9 @@ def components(heads: DataFrame, size: int) -> DataFrame:
     for r in range(ROUNDS + 1):
         # postings of tokens that more than one component has
         spread = postings.join(label, "sid")
-        open_ = spread.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-        left = cut(_ranked(spread.join(open_.where("a < b").drop("a", "b"), "token")), "open")
-        first = left.where(_may_be_first())
+        who = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"s{k}") for k in (1, 2)]
+        open_ = spread.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("df"), F.min("n").alias("lo"), F.max("n").alias("hi"), *who)
+        first = cut(_ranked(spread.join(open_.where("a < b").drop("a", "b"), "token")).where(_may_be_first()), "open")
         per = first.groupBy("token", "component").agg(F.count("*").cast("double").alias("c"))
         cross = per.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("x")).agg(F.sum("x")).first()[0] or 0.0
         if not cross:
@@ -236,15 +245,18 @@ def components(heads: DataFrame, size: int) -> DataFrame:
             # the sets with the most open tokens are the likeliest partners; who has most changes as components grow
             place = F.row_number().over(W.partitionBy("token").orderBy(F.lit(0) if r % 2 else F.desc("held"), F.xxhash64("sid", F.lit(r))))
             y = first.withColumn("place", place).where(F.col("place") <= LEADERS)
-        x = first.select("token", "sid", F.col("n").alias("nu"), "component", "room")
-        y = y.select("token", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("room").alias("rv"))
-        order = F.col("sid") < F.col("v") if last else F.lit(True)
-        pairs = x.join(y, "token").where(order & (F.col("component") != F.col("cv")) & _close("nu", "nv") & _enough(F.least("room", "rv")))
+        # a pair counts at the first token where both meet; of those before it the nearest are looked at
+        past = F.collect_list("token").over(W.partitionBy("sid").orderBy(F.desc("room")).rowsBetween(-PAST, -1))
+        x, y = first.withColumn("past", past), y.withColumn("past", past)
+        once = ~F.arrays_overlap("past", "pv") & (F.col("sid") < F.col("v") if last else F.lit(True))
+        x = x.select("token", "sid", F.col("n").alias("nu"), "component", "room", "past")
+        y = y.select("token", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("room").alias("rv"), F.col("past").alias("pv"))
+        pairs = x.join(y, "token").where(once & (F.col("component") != F.col("cv")) & _close("nu", "nv") & _enough(F.least("room", "rv")))
         pairs = pairs.select(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v")).distinct()
         pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         found = cut(_similar(cut(_likely(pairs, kin), "likely"), bodies, size), "similar")
-        drop(left)
+        drop(first)
         release(spark)
         if found.limit(1).count():
             links = links.unionByName(found)
