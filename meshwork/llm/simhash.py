@@ -235,12 +235,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def _components_of(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
     """id, fp, component, component_id (least id that is not null) for rows (id, text)."""
     rows = cut(fingerprints(docs, "id", "text", size), "prints")
-    prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")), "distinct", rows.count())
+    n = prints.count()
     joined = star_components(links(prints, max_bits), "u", "v")
-    nodes = cut(prints.join(joined, prints.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes")
+    nodes = cut(prints.join(joined, prints.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "nodes", n)
     # tables of their own, so that adaptive execution can split a giant component, or the rows of a common fingerprint
-    roots = cut(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "roots")
-    names = cut(nodes.join(roots, "component").select("fp", "component", "component_id"), "names")
+    roots = cut(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "roots", n)
+    names = cut(nodes.join(roots, "component").select("fp", "component", "component_id"), "names", n)
     return rows.join(names, "fp").select(F.col("key").alias("id"), "fp", "component", "component_id")
 
 
