@@ -1,7 +1,12 @@
 """Walks do not depend on how neighbours are packed into lists, nor on which plan a previous node's links take."""
 
+import hashlib
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from meshwork.functions import digests
 from meshwork.operators import walks
 
 
@@ -53,3 +58,44 @@ def test_what_hashes_have_in_common_is_put_together_before_the_lists(spark, hub,
     walks.walk(hub, _start(spark), 2)
     moved = [p for name, p in plans if name == "moved"]
     assert moved and all("concat(prefix" in p for p in moved)
+
+
+@pytest.mark.parametrize("room,wide,crowd", [(1000, 1000, 1000), (3, 1000, 1000), (3, 5, 2)])
+def test_uniform_walks_take_the_least_hash_at_hubs_too(spark, hub, monkeypatch, room, wide, crowd):
+    plans, real = [], walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df, name="table": (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), real(df, name))[1])
+    monkeypatch.setattr(walks, "ROOM", room)
+    monkeypatch.setattr(walks, "WIDE", wide)
+    monkeypatch.setattr(walks, "CROWD", crowd)
+    near = {}
+    for r in hub.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    want = []
+    for w, t in _rows(_start(spark)):
+        t = list(t)
+        for step in range(1, 5):
+            if t[-1] in near and len(t) == step:
+                t.append(min((hashlib.md5(f"walk|{w}|{step}|{x}".encode()).hexdigest(), x) for x in near[t[-1]] if x != t[-1])[1])
+        want.append((w, tuple(t)))
+    assert _rows(walks.walk(hub, _start(spark), 5)) == sorted(want)
+    # the hub's tips are hashed by the kernel, many at once, and not one candidate after the other
+    assert all(("MapInArrow" in p) == (room < 40) for name, p in plans if name == "moved")
+
+
+def test_walks_over_numbers_take_the_least_hash(spark, monkeypatch):
+    monkeypatch.setattr(walks, "ROOM", 3)
+    edges = spark.createDataFrame([x for i in range(1, 30) for x in ((0, i, 1.0), (i, 0, 1.0))], "src long, dst long, weight double")
+    got = walks.walk(edges, walks.start_walks(edges.select(F.col("src").alias("id")).distinct()), 3)
+    assert got.schema["tokens"].dataType.simpleString() == "array<bigint>"
+    for w, t in _rows(got):
+        first = t[0] or int(min((hashlib.md5(f"walk|{w}|1|{x}".encode()).hexdigest(), x) for x in range(1, 30))[1])
+        assert t[0] and t[2] == min((hashlib.md5(f"walk|{w}|2|{x}".encode()).hexdigest(), x) for x in range(1, 30))[1] or t == (0, first, 0)
+
+
+def test_least_md5_of_heads_and_tails():
+    rng = random.Random(3)
+    for most, some in ((1, 1), (1, 300), (30, 1), (30, 300), (70, 900)):
+        heads = [bytes(rng.choices(b"walkC0123#|\xc3", k=rng.choice([0, 3, 5, 17, 18, 40, 60]))) for _ in range(most)]
+        tails = list({bytes(rng.choices(b"CSN0123456789\xe2", k=rng.choice([0, 1, 4, 6, 7, 7, 20]))) for _ in range(some)})
+        r, t = digests.least_md5(heads, tails)
+        assert [(x, tails[k]) for x, k in zip(r, t, strict=True)] == [min((hashlib.md5(h + x).hexdigest(), x) for x in tails) for h in heads]
