@@ -99,3 +99,22 @@ def test_least_md5_of_heads_and_tails():
         tails = list({bytes(rng.choices(b"CSN0123456789\xe2", k=rng.choice([0, 1, 4, 6, 7, 7, 20]))) for _ in range(some)})
         r, t = digests.least_md5(heads, tails)
         assert [(x, tails[k]) for x, k in zip(r, t, strict=True)] == [min((hashlib.md5(h + x).hexdigest(), x) for x in tails) for h in heads]
+
+
+def test_least_md5_in_tiles_that_do_not_divide_the_work(monkeypatch):
+    monkeypatch.setattr(digests, "TILE", 96)
+    monkeypatch.setattr(digests, "WIDE", 20)
+    heads, tails = [f"walk|N12#{i}|1|".encode() for i in range(100, 123)], [f"C{i}".encode() for i in range(980, 1050)]
+    r, t = digests.least_md5(heads, tails)
+    assert [(x, tails[k]) for x, k in zip(r, t, strict=True)] == [min((hashlib.md5(h + x).hexdigest(), x) for x in tails) for h in heads]
+
+
+def test_the_kernels_work_is_dealt_by_how_much_there_is(spark, hub, monkeypatch):
+    pairs = hub.select("src", "dst").distinct().where("src = 'h'")
+    tips = spark.range(30).select(F.concat(F.lit("w"), "id").alias("walk_id"), F.lit("h").alias("src"), F.lit("p").alias("prefix"))
+    dealt = lambda: walks._Lists(pairs, ["src"], 10).crowds(tips, "walk_id", "prefix")._jdf.queryExecution().optimizedPlan().toString()
+    assert "], 8" in dealt()  # four lists, one slice
+    monkeypatch.setattr(walks, "CROWD", 3)
+    assert "], 80" in dealt()  # ten slices
+    monkeypatch.setattr(walks, "CROWD", 1)
+    assert "], 128" in dealt()  # no more than 32 for each of the shuffle's
