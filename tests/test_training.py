@@ -75,3 +75,34 @@ def test_no_vectors_of_nodes_are_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     got = {r.id: r.vector for r in out.collect()}
     assert len(got) == 2000 and all(len(v) == 32 and abs(v[0] - 1.0) < 1e-9 for v in got.values())
+
+
+def test_graph_network_is_trained_on_every_edge_however_it_is_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 23
+    pairs = {(0, i) for i in range(1, n)} | {(i, 0) for i in range(1, n)} | {tuple(map(int, x)) for x in rng.integers(0, n, (30, 2))}
+    g = PropertyGraph(spark.createDataFrame([(f"n{i:02}", "t", "l") for i in range(n)], "id string, type string, label string"), spark.createDataFrame([(f"n{a:02}", f"n{b:02}", "e", 1.0) for a, b in pairs] + [("n01", "lost", "e", 1.0)], "src string, dst string, type string, weight double"))
+    x, y = rng.normal(size=(n, 3)), np.array([i % 2 if i % 4 else -1 for i in range(n)])
+    features = spark.createDataFrame([(f"n{i:02}", list(map(float, x[i]))) for i in range(n)], "id string, vector array<double>")
+    labels = spark.createDataFrame([(f"n{i:02}", int(y[i])) for i in range(n) if y[i] >= 0], "id string, label int")
+    m = np.eye(n)
+    for a, b in pairs:
+        m[a, b] += 1
+    m /= m.sum(axis=1, keepdims=True)
+    for hidden in ((4,), (4, 5)):
+        want = learning.init_weights([3, *hidden, 2])
+        for _ in range(2):
+            h = [x]
+            for k, w in enumerate(want):
+                h.append(m @ h[-1] @ w if k + 1 == len(want) else np.tanh(m @ h[-1] @ w))
+            d, grads = np.exp(h[-1]) / np.exp(h[-1]).sum(axis=1, keepdims=True) - np.eye(2)[y], []
+            d[y < 0] = 0
+            for k in range(len(want) - 1, -1, -1):
+                grads.insert(0, (m @ h[k]).T @ d)
+                d = m.T @ d @ want[k].T * (1 - h[k] ** 2)
+            want = [w - 0.5 / (y >= 0).sum() * (v + 5e-4 * w) for w, v in zip(want, grads)]
+        for whole, edges in ((1 << 22, 1 << 20), (0, 4)):
+            monkeypatch.setattr(learning, "WHOLE", whole)
+            monkeypatch.setattr(learning, "EDGES", edges)
+            got = learning.cluster_gcn(g, features, labels, 2, hidden, rounds=2, steps=1, nodes_per_part=5, rate=0.5)
+            assert all(np.allclose(v, w) for v, w in zip(got, want, strict=True))
