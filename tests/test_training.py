@@ -89,6 +89,7 @@ def test_graph_network_is_trained_on_every_edge_however_it_is_dealt(spark, monke
     for a, b in pairs:
         m[a, b] += 1
     m /= m.sum(axis=1, keepdims=True)
+    monkeypatch.setattr(learning, "BLOCK", 0)
     for hidden in ((4,), (4, 5)):
         want = learning.init_weights([3, *hidden, 2])
         for _ in range(2):
